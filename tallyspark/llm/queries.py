@@ -19,6 +19,23 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.size("placements").alias("copies"), F.get("placements", F.lit(0))["position"].alias("position"))
 
 
+URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import url_filter
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    judged = url_filter.judge(pages, [url_filter.Rule(*r) for r in URL_RULES], keep=["page_id"])
+    return judged.withColumn("purity", F.round("purity", 9))
+
+
+def op2_oracle() -> str:
+    from . import url_filter
+
+    return url_filter.oracle([url_filter.Rule(*r) for r in URL_RULES])
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import license_scan
 
@@ -33,6 +50,18 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_license_scan, op8_packing)}
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secret_scan
+
+    found = secret_scan.scan(_documents(spark, sf_dir).select("doc_id", "text"))
+    base = F.filter("secrets", lambda s: s["kind"] < 3)
+    count = lambda k: F.size(F.filter("secrets", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(secret_scan.joined(base).cast("binary"), 256).alias("base_sha256"), secret_scan.joined(F.col("secrets")).alias("spans"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op3_license_scan, op8_packing, op9_secret_scan)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_url_filter": op2_oracle()}
