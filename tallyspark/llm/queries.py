@@ -42,6 +42,13 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_documents(spark, sf_dir), keep=["doc_id"]).drop("expressions")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import simhash_dedup
+
+    groups = simhash_dedup.grouped(_documents(spark, sf_dir))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -62,6 +69,6 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op3_license_scan, op8_packing, op9_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op3_license_scan, op6_simhash, op8_packing, op9_secret_scan)}
 
 ORACLES: dict[str, str] = {"op2_url_filter": op2_oracle()}
