@@ -42,6 +42,12 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_documents(spark, sf_dir), keep=["doc_id"]).drop("expressions")
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import media
+
+    return media.described(media.stored(_documents(spark, sf_dir)))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import simhash_dedup
 
@@ -69,6 +75,6 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op3_license_scan, op6_simhash, op8_packing, op9_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op3_license_scan, op4_media, op6_simhash, op8_packing, op9_secret_scan)}
 
 ORACLES: dict[str, str] = {"op2_url_filter": op2_oracle()}
