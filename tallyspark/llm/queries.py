@@ -55,6 +55,15 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs = _documents(spark, sf_dir)
+    net = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    found = toxicity.scored(docs, net, keep=["doc_id"])
+    return found.select("doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -75,6 +84,6 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op3_license_scan, op4_media, op6_simhash, op8_packing, op9_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op3_license_scan, op4_media, op6_simhash, op7_toxicity, op8_packing, op9_secret_scan)}
 
 ORACLES: dict[str, str] = {"op2_url_filter": op2_oracle()}
