@@ -84,6 +84,12 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op3_license_scan, op4_media, op6_simhash, op7_toxicity, op8_packing, op9_secret_scan)}
+def op10_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import embedding_dedup
+
+    return embedding_dedup.grouped(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op3_license_scan, op4_media, op6_simhash, op7_toxicity, op8_packing, op9_secret_scan, op10_embedding)}
 
 ORACLES: dict[str, str] = {"op2_url_filter": op2_oracle()}
