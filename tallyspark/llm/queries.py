@@ -48,6 +48,13 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.described(media.stored(_documents(spark, sf_dir)))
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import substring_dedup
+
+    found = substring_dedup.deduplicated(_documents(spark, sf_dir), keep=["doc_id"])
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import simhash_dedup
 
@@ -90,6 +97,6 @@ def op10_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.grouped(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op3_license_scan, op4_media, op6_simhash, op7_toxicity, op8_packing, op9_secret_scan, op10_embedding)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op3_license_scan, op4_media, op5_substring, op6_simhash, op7_toxicity, op8_packing, op9_secret_scan, op10_embedding)}
 
 ORACLES: dict[str, str] = {"op2_url_filter": op2_oracle()}
