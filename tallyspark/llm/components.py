@@ -7,6 +7,7 @@ Nothing but a count and a checksum of a round reaches the driver.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from .storage import release, remove, written
@@ -57,3 +58,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     moved = edges.join(least, edges["b"] == least["v"]).where("a != m").select(F.col("m").alias("x"), F.col("a").alias("y"))
     own = least.select(F.col("m").alias("x"), F.col("v").alias("y"))
     return moved.union(own).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a != b").distinct()
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of links between numbers, as index arrays: each end joined to the smallest end of its component, so never more links than ends."""
+    if not len(a):
+        return a, b
+    n = int(max(a.max(), b.max())) + 1
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        np.minimum.at(label, a, label[b])
+        np.minimum.at(label, b, label[a])
+        label = label[label]
+        if (label == before).all():
+            break
+    ends = np.unique(np.concatenate((a, b)))
+    ends = ends[label[ends] != ends]
+    return ends, label[ends]

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .components import components
+from .components import components, spanning
 from .storage import written
 
 LEADING, BLOCK, FANOUT = 4, 1024, 8
@@ -198,25 +198,6 @@ def _apart(a, b):
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the true cells of a link matrix given as index pairs, a spanning forest."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    keep = []
-    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
-        p, q = root(x), root(y)
-        if p != q:
-            parent[max(p, q)] = min(p, q)
-            keep.append(k)
-    return a[keep], b[keep]
-
-
 def compare(x: np.ndarray, y: np.ndarray | None, cosine: float, slab: int = 256):
     """Number matrices aside: yields (row, column) index arrays of linked vectors, for slabs of rows; y None: within x, once for each pair."""
     other = x if y is None else y
@@ -251,14 +232,14 @@ def block_links(found: DataFrame, pairs: DataFrame, cosine: float) -> DataFrame:
                     nb += np.bincount(q, ca[p], len(rb)).astype(np.int64)
                     if len(p):
                         # a slab's links, then those kept so far with them: never more than there are vectors
-                        s, t = _thinned(p, q if same else q + len(ra))
+                        s, t = spanning(p, q if same else q + len(ra))
                         ends.append((s, t))
                         if len(ends) > 8:
-                            ends = [_thinned(*(np.concatenate(z) for z in zip(*ends)))]
+                            ends = [spanning(*(np.concatenate(z) for z in zip(*ends)))]
                 ids = pa.concat_arrays([ra, rb])
                 counts = np.concatenate((na + nb, np.zeros(len(rb), np.int64))) if same else np.concatenate((na, nb))
                 who = np.flatnonzero(counts)
-                s, t = _thinned(*(np.concatenate(z) for z in zip(*ends))) if ends else (np.zeros(0, np.int64),) * 2
+                s, t = spanning(*(np.concatenate(z) for z in zip(*ends))) if ends else (np.zeros(0, np.int64),) * 2
                 vec = pa.concat_arrays([ids.take(pa.array(who)), ids.take(pa.array(s))])
                 n = pa.array(np.concatenate((counts[who], np.zeros(len(s), np.int64))))
                 other = pa.concat_arrays([pa.nulls(len(who), ids.type), ids.take(pa.array(t))])
@@ -267,27 +248,6 @@ def block_links(found: DataFrame, pairs: DataFrame, cosine: float) -> DataFrame:
     return rows.mapInArrow(run, f"vec {kind}, n long, other {kind}")
 
 
-def _thinned(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of links: first the earliest partner of each end, which leaves few to look at one by one."""
-    return _forest(a, b) if len(a) < 5000 else _forest(*_stars(a, b))
-
-
-def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fewer links with the same components: label the ends by repeated minima, then join each to its label."""
-    n = int(max(a.max(), b.max())) + 1
-    label = np.arange(n)
-    while True:
-        before = label.copy()
-        np.minimum.at(label, a, label[b])
-        np.minimum.at(label, b, label[a])
-        label = label[label]
-        if (label == before).all():
-            break
-    ends = np.unique(np.concatenate((a, b)))
-    ends = ends[label[ends] != ends]
-    return ends, label[ends]
-
-
 def grouped(vectors: DataFrame, cosine: float = 0.9, vector: str = "embedding") -> DataFrame:
     """Every row of ``vectors`` as vec_id, n_links, component_id and kept.
 

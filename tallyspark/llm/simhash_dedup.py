@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .components import components
+from .components import components, spanning
 from .storage import written
 
 SEED = 42
@@ -144,9 +144,108 @@ def grouped(docs: DataFrame, width: int = 3, distance: int = 2, text: str = "tex
     return prints.join(member, F.col("fp") == F.col("f")).drop("f")
 
 
-def deduplicated(docs: DataFrame, width: int = 5, distance: int = 2, text: str = "text") -> DataFrame:
-    """The documents of which each group keeps one: that with the smallest doc_id (repeated rows of it as one). Columns are those of ``docs``."""
-    groups = grouped(docs, width, distance, text)
+# Near copies at a similarity of 0.8: so many of a fingerprint's bits differ then that differences of pivot distances exclude nothing, and no
+# table's key stays equal. The fingerprint is longer (SIGNATURES numbers), candidates are documents that share one of their SMALLEST
+# least shingle hashes, and members of a candidate group are verified block by block.
+SIGNATURES, SMALLEST, MEMBERS = 4, 4, 512
+
+
+def differing_bits(similarity: float) -> int:
+    """Of SIGNATURES * 64 bits, those that differ on average between two sets of shingles with this Jaccard similarity, and half a deviation."""
+    n, angle = SIGNATURES * BITS, np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(n * angle + 0.5 * np.sqrt(n * angle * (1 - angle)))
+
+
+def _rehash(x: np.ndarray, k: int) -> np.ndarray:
+    x = x * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def signature_of(raw: bytes, width: int) -> tuple[list[int], list[int]]:
+    """The long fingerprint and the smallest shingle hashes of a text; zeros and one zero for a text without words."""
+    words = raw.translate(_ASCII_LOWER).split()
+    if not words:
+        return [0] * SIGNATURES, [0]
+    line, n = b" ".join(words), min(width, len(words))
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
+    starts = np.concatenate(([0], ends[:-n])).tolist()
+    hashes = np.array([xxhash.xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts, (ends[n - 1 :] - 1).tolist())], dtype="<u8")
+    hashes = np.unique(hashes)
+    out = []
+    for k in range(SIGNATURES):
+        lanes = _SPREAD[_rehash(hashes, k).view(np.uint8).reshape(-1, 8)]
+        sums = np.add.reduceat(lanes, np.arange(0, len(hashes), _CHUNK), axis=0)
+        counts = np.ascontiguousarray(sums).view(np.uint8).reshape(len(sums), BITS).sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<i8")[0]))
+    return out, hashes[:SMALLEST].view("<i8").tolist()
+
+
+def near_pairs(a: np.ndarray, b: np.ndarray | None, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of rows (SIGNATURES numbers each) that differ in at most ``limit`` bits; b None: within a, once for each pair."""
+    other = a if b is None else b
+    apart = np.zeros((len(a), len(other)), dtype=np.uint16)
+    for k in range(a.shape[1]):
+        apart += np.bitwise_count(a[:, None, k] ^ other[None, :, k])
+    hit = apart <= limit
+    return np.nonzero(np.triu(hit, 1) if b is None else hit)
+
+
+def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
+    """(doc_id, fp, component_id): near copies of a similarity of word shingles share a component_id, their smallest doc_id; fp is their signature.
+
+    Null and empty texts are copies of each other. Texts with fewer words than ``width`` are one shingle. Equal signatures (copies) are one
+    member however many they are; a candidate group is cut into blocks of about MEMBERS, pairs of blocks are compared by tasks of their own,
+    and each gives no more links than it has members. An empty table gives no rows.
+    """
+    limit = differing_bits(similarity)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    source = docs.select("doc_id", F.col(text).cast("binary").alias("__text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, raw = batch.columns
+            found = [signature_of(x.as_py() or b"", width) for x in raw]
+            yield pa.RecordBatch.from_arrays([ids, pa.array([x for x, _ in found], pa.list_(pa.int64())), pa.array([y for _, y in found], pa.list_(pa.int64()))], names=["doc_id", "fp", "keys"])
+
+    prints, _ = written(source.mapInArrow(run, f"doc_id {kind}, fp array<long>, keys array<long>"), "signatures")
+    reps, _ = written(prints.groupBy("fp").agg(F.min("doc_id").alias("id"), F.min("keys").alias("keys")).where("id IS NOT NULL"), "signature-classes")
+    rows = reps.select("id", "fp", F.explode("keys").alias("key"))
+    sizes = rows.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / MEMBERS))
+    placed = rows.join(sizes, F.col("key") == F.col("k")).withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), "blocks"))
+    # about MEMBERS rows, by hash
+    blocks, _ = written(placed.groupBy("key", "block", "blocks").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("fp")).alias("fps")), "signature-blocks")
+    pairs = blocks.select(F.col("key").alias("k"), F.col("block").alias("i"), F.col("ids").alias("ids_a"), F.col("fps").alias("fps_a"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"))
+    alone = pairs.where("i = j").select("ids_a", "fps_a", F.lit(None).cast(f"array<{kind}>").alias("ids"), F.lit(None).cast("array<long>").alias("fps"))
+    two = pairs.where("i < j").join(blocks, (F.col("k") == F.col("key")) & (F.col("j") == F.col("block"))).select("ids_a", "fps_a", "ids", "fps")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = [], []
+            for ia, fa, ib, fb in zip(*batch.columns, strict=True):
+                first = fa.values.to_numpy().view(np.uint64).reshape(-1, SIGNATURES)
+                second = fb.values.to_numpy().view(np.uint64).reshape(-1, SIGNATURES) if fb.is_valid else None
+                x, y = near_pairs(first, second, limit)
+                if len(x):
+                    ids = pa.concat_arrays([ia.values, ib.values]) if fb.is_valid else ia.values
+                    x, y = spanning(x, y + len(first) if fb.is_valid else y)
+                    left.append(ids.take(pa.array(x)))
+                    right.append(ids.take(pa.array(y)))
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(left), pa.concat_arrays(right)], names=["a", "b"])
+
+    links = alone.union(two).mapInArrow(compare, f"a {kind}, b {kind}")
+    found = components(links)
+    member = reps.join(found, reps["id"] == found["vertex"], "left").select(F.col("fp").alias("f"), F.coalesce("component", "id").alias("component_id"))
+    return prints.select("doc_id", "fp").join(member, F.col("fp") == F.col("f"), "left").drop("f")
+
+
+def deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
+    """The documents of which each group of near_groups keeps one: that with the smallest doc_id (repeated rows of it as one). Columns are those of ``docs``.
+
+    Of rows without doc_id those stay that are in no group with an id, one of each text's signature.
+    """
+    groups = near_groups(docs, width, similarity, text)
     keys = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
     # the hash table holds ids, the texts stream past it
     kept = docs.join(keys.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
