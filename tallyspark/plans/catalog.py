@@ -2,5 +2,43 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import importlib
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a query of (spark, sf_dir), with its SQL where SQL can express it."""
+
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def unit_sql(text: str) -> str:
+    """DuckDB: a number in [0, 1) from the md5 of a text expression."""
+    return f"(('0x' || substr(md5({text}), 1, 8))::BIGINT::DOUBLE / 4294967296.0)"
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["flagship_decisions"](spark, sf_dir)
+
+
+for _name in ("text", "filters", "joins", "metrics", "ranking", "augment", "algebra", "policy", "sets", "profiles", "sources"):
+    try:
+        importlib.import_module(f"tallyspark.plans.{_name}_queries")
+    except ModuleNotFoundError as _error:
+        if _error.name != f"tallyspark.plans.{_name}_queries":
+            raise
