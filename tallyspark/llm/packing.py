@@ -10,6 +10,8 @@ prefix counts over hash buckets, so a length that a third of the pieces share is
 from __future__ import annotations
 
 import bisect
+import gc
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -20,57 +22,74 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from .storage import written
 
 END_ID = 1
-#: Entries of a worker's caches of encoded chunks and words; a full cache is emptied.
-CACHE = 300_000
+#: Encoded chunks that a worker keeps; when it has more it starts anew.
+CACHE = 800_000
 #: Pieces that a hash bucket holds on average.
-BUCKET_ROWS = 512
+BUCKET_ROWS = 128
+
+#: Texts whose chunks are looked up together.
+TEXTS = 1000
 
 _encoders: dict[str, "Encoder"] = {}
 
 
 class Encoder:
-    """Ids of a text as little-endian unsigned 32-bit numbers, equal to ``Tokenizer.encode(text, add_special_tokens=False)``.
+    """Ids of texts as little-endian unsigned 32-bit numbers, equal to ``Tokenizer.encode(text, add_special_tokens=False)``.
 
-    The tokenizer's model never looks across white space, so texts are cut at blanks and line ends (with ``by_chunk``) and each distinct chunk is
-    encoded once. A chunk of ASCII letters and at most one mark after them is encoded as lower-case word and mark, which the tokenizer's
-    own pattern parts in the same way.
+    The tokenizer's model never looks across white space, so texts are cut at blanks and line ends and each distinct chunk is encoded once. A chunk
+    of Latin letters and marks behind them is a lower-case word and a run of marks, as the tokenizer's own pattern parts them; words that
+    aren't known yet are encoded many at a time, and the ids that end a word part them again.
     """
 
-    def __init__(self, path: str, by_chunk: bool = True):
-        from tokenizers import Tokenizer
+    #: ASCII and Latin-1 letters (which composition leaves alone and any lower-casing treats alike), then ASCII marks other than the apostrophe.
+    PARTS = re.compile("^([A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)$", re.MULTILINE)
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.by_chunk = Tokenizer.from_file(path), by_chunk
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.tokenizer = Tokenizer.from_file(path)
+        # the same model for lower-case words between single blanks, which need no other preparation
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix = self.tokenizer.model.end_of_word_suffix
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        if suffix:
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.known: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            found = self.words[word] = self._ids(word)
-        return found
-
-    def _chunk(self, chunk: str) -> bytes:
-        if chunk.isascii() and chunk.isalpha():
-            ids = self._word(chunk.lower())
-        elif chunk.isascii() and chunk[-1] in ".,;:!?|" and chunk[:-1].isalpha():
-            ids = self._word(chunk[:-1].lower()) + self._word(chunk[-1])
-        else:
-            ids = self._ids(chunk)
-        if len(self.chunks) >= CACHE:
-            self.chunks.clear()
-        self.chunks[chunk] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        if not self.by_chunk:
-            return self._ids(text)
-        get, miss = self.chunks.get, self._chunk
-        return b"".join([get(c) or miss(c) for c in text.replace("\n", " ").split(" ") if c])
+    def _words(self, words: list[str]) -> list[bytes]:
+        out = []
+        for a in range(0, len(words), 3000):
+            part = words[a : a + 3000]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+            raw = ids.tobytes()
+            out += [raw[x:y] for x, y in zip(cuts, cuts[1:])] if len(cuts) == len(part) + 1 else map(self._ids, part)
+        return out
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """One after the other; new chunks of all the texts are encoded first."""
+        parted = [t.replace("\n", " ").split(" ") for t in texts]
+        new = set().union(*parted)
+        if len(self.known) + len(new) > CACHE:
+            self.known = {"": b""}
+        new -= self.known.keys()
+        get = self.known.__getitem__
+        pairs = self.PARTS.findall("\n".join(new))
+        lower = [w.lower() for w, _ in pairs]
+        words = list(set(lower) - self.known.keys())
+        self.known.update(zip(words, self._words(words)))
+        behind = {m: self._ids(m) for m in {m for _, m in pairs}}
+        self.known.update(zip([w + m for w, m in pairs], [get(x) + behind[m] for x, (_, m) in zip(lower, pairs)]))
+        new -= self.known.keys()
+        self.known.update([(c, self._ids(c)) for c in new])
+        for chunks in parted:
+            yield b"".join(map(get, chunks))
 
 
 def encoder(path: str) -> Encoder:
@@ -87,22 +106,31 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, text: str = "text") -
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
-        for batch in batches:
-            ids, texts = batch.columns
-            row, piece, length, crc = [], [], [], []
-            for i, t in enumerate(texts):
-                stream = encode(t.as_py() or "") + end
-                for k, at in enumerate(range(0, len(stream), 4 * capacity)):
-                    part = stream[at : at + 4 * capacity]
-                    row.append(i)
-                    piece.append(k)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-            taken = ids.take(pa.array(row, pa.int64()))
-            k = pa.array(piece, pa.int32())
-            start = pa.array([x * capacity for x in piece], pa.int64())
-            yield pa.RecordBatch.from_arrays([taken, k, start, pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        encode = encoder(tokenizer).encode_all
+        for whole in batches:
+            for batch in (whole.slice(a, TEXTS) for a in range(0, whole.num_rows, TEXTS)):
+                gc.disable()  # the many small objects have no cycles
+                try:
+                    out = cut(batch, encode)
+                finally:
+                    gc.enable()
+                yield out
+
+    def cut(batch: pa.RecordBatch, encode) -> pa.RecordBatch:
+        ids, texts = batch.columns
+        row, piece, length, crc = [], [], [], []
+        for i, stream in enumerate(encode([t.as_py() or "" for t in texts])):
+            stream += end
+            for k, at in enumerate(range(0, len(stream), 4 * capacity)):
+                part = stream[at : at + 4 * capacity]
+                row.append(i)
+                piece.append(k)
+                length.append(len(part) // 4)
+                crc.append(zlib.crc32(part))
+        taken = ids.take(pa.array(row, pa.int64()))
+        k = pa.array(piece, pa.int32())
+        start = pa.array([x * capacity for x in piece], pa.int64())
+        return pa.RecordBatch.from_arrays([taken, k, start, pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return source.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
