@@ -21,7 +21,7 @@ from .storage import written
 
 MAX_SOURCES = 100_000
 #: Documents of one source that a hash bucket holds on average.
-BUCKET_ROWS = 512
+BUCKET_ROWS = 128
 #: Pieces of a source's cumulative demand; inside a piece the weights count as constant.
 STEPS = 32
 
