@@ -221,11 +221,15 @@ def string_leaves(rows: DataFrame, key: str, json: str, skip: list[str]) -> Data
     return rows.select(key, json).mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, path string, text string")
 
 
-@F.pandas_udf("string")
-def nfkc_casefold(s: pd.Series) -> pd.Series:
+def nfkc_casefold(text: Column | str) -> Column:
     """NFKC and casefold, then runs of letters and digits, one blank between: neither is a built-in, so batches go through Arrow."""
-    import re
-    import unicodedata
 
-    word = re.compile(r"[^\W_]+")
-    return s.map(lambda x: None if x is None else " ".join(word.findall(unicodedata.normalize("NFKC", x).casefold())))
+    @F.pandas_udf("string")
+    def tokens(s: pd.Series) -> pd.Series:
+        import re
+        import unicodedata
+
+        word = re.compile(r"[^\W_]+")
+        return s.map(lambda x: None if x is None else " ".join(word.findall(unicodedata.normalize("NFKC", x).casefold())))
+
+    return tokens(text)
