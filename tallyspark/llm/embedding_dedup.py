@@ -22,45 +22,52 @@ from pyspark.sql import DataFrame, functions as F
 from .components import components, spanning
 from .storage import written
 
-LEADING, BLOCK, FANOUT = 4, 1024, 8
+LEADING, BLOCK, FANOUT = 4, 2048, 8
+#: Pairs of blocks in an Arrow batch (a pair has about a megabyte).
+PAIRS_AT_ONCE = 2
 #: What double precision may add to a distance of unit vectors.
 SLACK = 1e-7
 
 
 def clean(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
-    """Distinct usable vectors as (rep, copies, x): unit vectors as binary doubles; rep is the smallest vec_id of the copies.
+    """Distinct usable vectors as (rep, copies, x): x is the vector's numbers in binary, in the column's own precision; rep is the smallest vec_id of the copies.
 
     Null vectors and those with null or non-finite components, or without length, are left out.
     """
-    x = F.col(vector).cast("array<double>")
     usable = vectors.where(F.col(vector).isNotNull() & F.forall(F.col(vector), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))))
-    same = usable.select("vec_id", x.alias("v")).groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    kind = number_kind(vectors, vector)
+    same = usable.where(F.exists(vector, lambda v: v != 0)).select("vec_id", F.col(vector).cast("array<float>" if kind == "<f4" else "array<double>").alias("v"))
+    same = same.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rep, copies, v = batch.columns
-            keep, out = [], []
-            for i, row in enumerate(v):
-                a = np.asarray(row.values.to_numpy(zero_copy_only=False), dtype=np.float64)
-                top = np.abs(a).max() if len(a) else 0.0
-                if top > 0:
-                    a = a / top  # so that squares neither vanish nor overflow
-                    keep.append(i)
-                    out.append((a / np.sqrt((a * a).sum())).tobytes())
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([rep.take(at), copies.take(at), pa.array(out, pa.binary())], names=["rep", "copies", "x"])
+            out = [np.asarray(row.values.to_numpy(zero_copy_only=False), dtype=kind).tobytes() for row in v]
+            yield pa.RecordBatch.from_arrays([rep, copies, pa.array(out, pa.binary())], names=["rep", "copies", "x"])
 
     return same.select("rep", "copies", "v").mapInArrow(run, f"rep {vectors.schema['vec_id'].dataType.simpleString()}, copies long, x binary")
 
 
-def principal(reps: DataFrame, leading: int) -> np.ndarray:
+def number_kind(vectors: DataFrame, vector: str) -> str:
+    """Single precision travels as such, anything else as doubles."""
+    return "<f4" if vectors.schema[vector].dataType.elementType.simpleString() == "float" else "<f8"
+
+
+def units(raw: bytes, rows: int, kind: str) -> np.ndarray:
+    """Rows as unit vectors in double precision; scaled first, so that squares neither vanish nor overflow."""
+    m = np.frombuffer(raw, dtype=kind).reshape(rows, -1).astype(np.float64)
+    m = m / np.abs(m).max(axis=1, keepdims=True)
+    return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
+
+
+def principal(reps: DataFrame, leading: int, number: str) -> np.ndarray:
     """The leading principal axes (dimension x leading) of vectors of one dimension; partial sums come from the executors (dimension squared numbers each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             if batch.num_rows:
-                m = _matrix(batch.column(0))
+                m = _matrix(batch.column(0), number)
                 part = np.concatenate((m.T @ m, m.sum(axis=0)[None], np.full((1, m.shape[1]), len(m))))
                 total = part if total is None else total + part
         if total is not None:
@@ -89,12 +96,12 @@ def principal(reps: DataFrame, leading: int) -> np.ndarray:
     return np.ascontiguousarray(axes[:, ::-1][:, : min(leading, d)])
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.Array, number: str) -> np.ndarray:
     rows = [r.as_py() for r in column]
-    return np.frombuffer(b"".join(rows)).reshape(len(rows), -1)
+    return units(b"".join(rows), len(rows), number)
 
 
-def blocks(reps: DataFrame, axes: np.ndarray, epsilon: float) -> tuple[DataFrame, int]:
+def blocks(reps: DataFrame, axes: np.ndarray, epsilon: float, number: str) -> tuple[DataFrame, int]:
     """Blocks (block, reps, copies, xs, low, high, centre, radius) in epsilon grid order, numbered from 0 without gaps, and how many there are."""
     kind = reps.schema["rep"].dataType.simpleString()
     k = axes.shape[1]
@@ -103,7 +110,7 @@ def blocks(reps: DataFrame, axes: np.ndarray, epsilon: float) -> tuple[DataFrame
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                c = np.floor(_matrix(batch.column(2)) @ axes / epsilon).astype(np.int32)
+                c = np.floor(_matrix(batch.column(2), number) @ axes / epsilon).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c[:, i]) for i in range(k))], names=["rep", "copies", "x", *(f"c{i}" for i in range(k))])
 
     order = [f"c{i}" for i in range(k)] + ["rep"]
@@ -117,11 +124,12 @@ def blocks(reps: DataFrame, axes: np.ndarray, epsilon: float) -> tuple[DataFrame
 
         def block():
             whole = pa.Table.from_batches(held).combine_chunks()
-            m = _matrix(whole.column("x").combine_chunks() if whole.column("x").num_chunks != 1 else whole.column("x").chunk(0))
+            raw = b"".join(whole.column("x").to_pylist())
+            m = units(raw, whole.num_rows, number)
             p, centre = m @ axes, m.mean(axis=0)
             radius = float(np.sqrt(((m - centre) ** 2).sum(axis=1)).max())
             return pa.RecordBatch.from_arrays(
-                [pa.array([task], pa.int32()), pa.array([n], pa.int64()), pa.array([whole.column("rep").to_pylist()], pa.list_(whole.schema.field("rep").type)), pa.array([whole.column("copies").to_pylist()], pa.list_(pa.int64())), pa.array([m.tobytes()]),
+                [pa.array([task], pa.int32()), pa.array([n], pa.int64()), pa.array([whole.column("rep").to_pylist()], pa.list_(whole.schema.field("rep").type)), pa.array([whole.column("copies").to_pylist()], pa.list_(pa.int64())), pa.array([raw]),
                  pa.array([p.min(axis=0).tolist()]), pa.array([p.max(axis=0).tolist()]), pa.array([centre.tolist()]), pa.array([radius])],
                 names=["task", "n", "reps", "copies", "xs", "low", "high", "centre", "radius"])
 
@@ -209,7 +217,7 @@ def compare(x: np.ndarray, y: np.ndarray | None, cosine: float, slab: int = 256)
         yield a + at, b
 
 
-def block_links(found: DataFrame, pairs: DataFrame, cosine: float) -> DataFrame:
+def block_links(found: DataFrame, pairs: DataFrame, cosine: float, number: str) -> DataFrame:
     """(vec, n, other): for each pair of blocks, each vector's partners (counting copies), and links of a spanning forest (n is 0 there)."""
     kind = found.schema["reps"].dataType.elementType.simpleString()
     a = found.select(*[F.col(c).alias(f"a_{c}") for c in ("block", "reps", "copies", "xs")])
@@ -223,8 +231,8 @@ def block_links(found: DataFrame, pairs: DataFrame, cosine: float) -> DataFrame:
                 same = i.as_py() == j.as_py()
                 ra, rb = ra.values, rb.values
                 ca, cb = ca.values.to_numpy(), cb.values.to_numpy()
-                x = np.frombuffer(xa.as_py()).reshape(len(ra), -1)
-                y = None if same else np.frombuffer(xb.as_py()).reshape(len(rb), -1)
+                x = units(xa.as_py(), len(ra), number)
+                y = None if same else units(xb.as_py(), len(rb), number)
                 na, nb = np.zeros(len(ra), np.int64), np.zeros(len(rb), np.int64)
                 ends = []
                 for p, q in compare(x, y, cosine):
@@ -261,17 +269,23 @@ def grouped(vectors: DataFrame, cosine: float = 0.9, vector: str = "embedding")
     ids = vectors.select("vec_id", F.col(vector).cast("array<double>").alias("v"))
     reps, _ = written(clean(vectors, vector), "unit-vectors")
     sizes = [r["n"] for r in reps.select(F.octet_length("x").alias("n")).groupBy("n").count().orderBy("n").limit(1000).collect()]
-    links = None
+    number, links = number_kind(vectors, vector), None
     for size in sizes:  # the embedding's dimension; several only in a mixed table
         mine = reps.where(F.octet_length("x") == size)
-        found, total = blocks(mine, principal(mine, LEADING), epsilon)
+        found, total = blocks(mine, principal(mine, LEADING, number), epsilon, number)
         found, _ = written(found, "ego-sequence")
-        part = block_links(found, near_blocks(found, total, epsilon), cosine)
+        part = block_links(found, near_blocks(found, total, epsilon), cosine, number)
         links = part if links is None else links.union(part)
     kind = vectors.schema["vec_id"].dataType.simpleString()
     if links is None:
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    links, _ = written(links, "ego-links")
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark, before = vectors.sparkSession, vectors.sparkSession.conf.get(batch)
+    spark.conf.set(batch, PAIRS_AT_ONCE)  # rows of this step hold whole blocks
+    try:
+        links, _ = written(links, "ego-links")
+    finally:
+        spark.conf.set(batch, before)
     counts = links.where("n > 0").groupBy(F.col("vec").alias("r")).agg(F.sum("n").alias("n"))
     found = components(links.where(F.col("other").isNotNull()).select(F.col("vec").alias("a"), F.col("other").alias("b")))
     known = reps.select("rep", "copies").join(counts, F.col("rep") == F.col("r"), "left").join(found, F.col("rep") == F.col("vertex"), "left")
