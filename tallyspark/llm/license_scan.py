@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 # The base phrases and their labels.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -180,16 +180,18 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
     """
     own = {x.split()[0] for x in SCHEMA.split(", ")}
     kept = [c for c in docs.columns if c != text and c not in own] if keep is None else keep
-    source = docs.select(*kept, docs[text].cast("binary").alias("__text"))
-    schema = source.drop("__text").limit(0).schema.simpleString()[7:-1]
+    # the kept columns travel as one, so their names can't clash with any other
+    source = docs.select(F.struct(*kept).alias("row") if kept else F.lit(None).alias("row"), docs[text].cast("binary").alias("text"))
+    kind = source.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton()
         for batch in batches:
-            *rest, raw = batch.columns
+            row, raw = batch.columns
             rows = [scan_text(x.as_py() or b"", machine) for x in raw]
             types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.list_(pa.string()), pa.float64()]
             cols = [pa.array(x, t) for x, t in zip(zip(*rows), types, strict=True)] if rows else [pa.array([], t) for t in types]
-            yield pa.RecordBatch.from_arrays([*rest, *cols], names=[*kept, *(x.split()[0] for x in SCHEMA.split(", "))])
+            yield pa.RecordBatch.from_arrays([row, *cols], names=["row", *(x.split()[0] for x in SCHEMA.split(", "))])
 
-    return source.mapInArrow(run, f"{schema}, {SCHEMA}" if kept else SCHEMA)
+    found = source.mapInArrow(run, f"row {kind}, {SCHEMA}")
+    return found.select(*[F.col("row")[c].alias(c) for c in kept], *(x.split()[0] for x in SCHEMA.split(", ")))

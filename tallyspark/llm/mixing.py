@@ -173,11 +173,12 @@ def ordered_mix(docs: DataFrame, weights=cyclic_weights, cap: float = 3.0, seed:
 
     A row is known by doc_id, source and the hash of its text; rows alike in these are each taken as often as the one of them that stands first.
     """
-    row = docs.withColumn("__key", F.xxhash64("text"))
+    # the documents' columns travel as one, so their names can't clash with any other
+    row = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "text", F.xxhash64("text").alias("__key"))
     sizes, _ = written(counted(row, ["doc_id", "source", "__key"]), "mix-sizes")
     plan = placed(sizes, weights, cap, seed, whole=True)
     plan = plan.where(F.size("placements") > 0).groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__s"), F.col("__key").alias("__k")).agg(F.min("placements").alias("__p"))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__s")) & (F.col("__key") == F.col("__k"))
     # the hash table holds keys and a few numbers, not texts, and the texts need no sort
-    out = row.join(plan.hint("shuffle_hash"), same).select(*docs.columns, F.explode("__p.position").alias("__position"))
-    return out.repartitionByRange("__position").sortWithinPartitions("__position").drop("__position")
+    out = row.join(plan.hint("shuffle_hash"), same).select("row", F.explode("__p.position").alias("__position"))
+    return out.repartitionByRange("__position").sortWithinPartitions("__position").select("row.*")

@@ -207,7 +207,9 @@ def joined(spans: Column) -> Column:
 
 def redacted(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
     """The documents with each secret's span (overlapping ones as one) replaced by ``mark``; a null text stays null."""
-    rows = scan(docs, text)
+    # the documents' columns travel as one, so their names can't clash with any other
+    rows = scan(docs.select(F.struct(*docs.columns).alias("row"), F.col(text).cast("string").alias("text")), "text")
+    kept, name, text = docs.columns, text, "text"
     kind = "struct<at:int,parts:array<string>>"
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")).cast(kind)
 
@@ -216,4 +218,5 @@ def redacted(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> Dat
         return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.concat(acc["parts"], F.array(part)).alias("parts")).cast(kind)
 
     whole = F.aggregate("secrets", begin, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(F.col(text), acc["at"] + 1, F.length(text))))
-    return rows.withColumn(text, F.when(F.size("secrets") > 0, whole).otherwise(F.col(text))).drop("secrets")
+    clean = F.when(F.size("secrets") > 0, whole).otherwise(F.col(text))
+    return rows.select(*[clean.alias(c) if c == name else F.col("row")[c].alias(c) for c in kept])

@@ -243,10 +243,12 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, text:
 def deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
     """The documents of which each group of near_groups keeps one: that with the smallest doc_id (repeated rows of it as one). Columns are those of ``docs``.
 
-    Of rows without doc_id those stay that are in no group with an id, one of each text's signature.
+    Rows without doc_id aren't compared with others; of equal texts among them one stays.
     """
     groups = near_groups(docs, width, similarity, text)
-    keys = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    keys = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("id")).distinct()
+    # the documents' columns travel as one, so their names can't clash with any other
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64(text)).alias("hash"))
     # the hash table holds ids, the texts stream past it
-    kept = docs.join(keys.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    kept = rows.where("doc_id IS NOT NULL").join(keys.hint("shuffle_hash"), F.col("doc_id") == F.col("id"), "left_semi")
+    return kept.union(rows.where("doc_id IS NULL")).dropDuplicates(["doc_id", "hash"]).select("row.*")

@@ -214,13 +214,14 @@ def deduplicated(docs: DataFrame, window: int = 50, anchor: int = ANCHOR, text:
     own = ["n_words", "n_removed", "kept"]
     kept = [c for c in docs.columns if c != text and c not in own] if keep is None else keep
     spans = repeats(docs, window, anchor, text).select(F.col("doc_id").alias("__i"), F.col("key").alias("__k"), "spans")
-    rows = docs.select(*kept, F.col("doc_id").alias("__id"), F.xxhash64(text).alias("__key"), F.col(text).cast("binary").alias("__text"))
+    # the kept columns travel as one, so their names can't clash with any other
+    rows = docs.select(F.struct(F.lit(0).alias("__"), *kept).alias("row"), F.col("doc_id").alias("__id"), F.xxhash64(text).alias("__key"), F.col(text).cast("binary").alias("__text"))
     # the hash table holds spans, the texts stream past it unsorted
-    rows = rows.join(spans.hint("shuffle_hash"), (F.col("__id") == F.col("__i")) & (F.col("__key") == F.col("__k")), "left").select(*kept, "__text", "spans")
+    rows = rows.join(spans.hint("shuffle_hash"), (F.col("__id") == F.col("__i")) & (F.col("__key") == F.col("__k")), "left").select("row", "__text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            *rest, texts, lists = batch.columns
+            row, texts, lists = batch.columns
             n, gone, out = [], [], []
             for raw, spans_ in zip(texts, lists, strict=True):
                 words = (raw.as_py() or b"").split()
@@ -233,8 +234,8 @@ def deduplicated(docs: DataFrame, window: int = 50, anchor: int = ANCHOR, text:
                 n.append(total)
                 gone.append(total - len(words))
                 out.append(b" ".join(words))
-            cols = [*rest, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(out, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*kept, *own])
+            cols = [row, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(out, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["row", *own])
 
-    schema = rows.drop("__text", "spans").schema.simpleString()[7:-1]
-    return rows.mapInArrow(run, f"{schema}, n_words long, n_removed long, kept binary").withColumn("kept", F.col("kept").cast("string"))
+    found = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, n_words long, n_removed long, kept binary")
+    return found.select(*[F.col("row")[c].alias(c) for c in kept], "n_words", "n_removed", F.col("kept").cast("string").alias("kept"))

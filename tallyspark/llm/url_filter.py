@@ -118,7 +118,8 @@ def judge(pages: DataFrame, rules: Sequence[Rule], settings: Settings = Settings
     """
     own = ["host", "path", "rule", "verdict", "template", "purity"]
     kept = [c for c in pages.columns if c not in own] if keep is None else keep
-    rows = pages.select(*kept, host_of(pages[url]).alias("host"), path_of(pages[url]).alias("path"))
+    # the kept columns travel as one, so their names can't clash with any other
+    rows = pages.select(F.struct(F.lit(0).alias("__"), *kept).alias("row"), host_of(pages[url]).alias("host"), path_of(pages[url]).alias("path"))
     rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("__by_rule", rule_of(F.col("host"), F.col("path"), rules, lambda r: r.verdict))
     paths = rows.groupBy("host", "path", "__by_rule").agg(F.count("*").alias("n")).withColumn("blocked", F.when(F.col("__by_rule") == "block", 1).when(F.col("__by_rule") == "allow", 0))
     open_ = judged_paths(paths.drop("__by_rule"), settings)
@@ -126,7 +127,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule], settings: Settings = Settings
     match = F.col("rule").isNull() & (F.col("host") == F.col("j_host")) & (F.col("path") == F.col("j_path"))
     out = rows.join(open_, match, "left")
     by_method = F.when(F.col("purity") >= settings.reject, "block").otherwise("allow")
-    return out.withColumn("verdict", F.coalesce("__by_rule", by_method)).select(*kept, *own)
+    return out.withColumn("verdict", F.coalesce("__by_rule", by_method)).select(*[F.col("row")[c].alias(c) for c in kept], *own)
 
 
 def oracle(rules: Sequence[Rule], settings: Settings = Settings()) -> str:
