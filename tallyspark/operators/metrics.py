@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import probs as P
+from .prefix import running, totals
 
 
 def judged(rows: DataFrame) -> DataFrame:
@@ -71,10 +72,9 @@ def selective_accuracy(rows: DataFrame, share: float, conf: str, correct: str, k
 
 
 def auroc(rows: DataFrame, score: str, label: str, *by: str) -> DataFrame:
-    """By mid-ranks, ties half; null with one class only. Scores are counted first, so ranks are running sums over distinct scores."""
+    """By mid-ranks, ties half; null with one class only. Scores are counted first, ranks are running sums over distinct scores."""
     counts = rows.groupBy(*by, F.col(score).alias("__score")).agg(F.sum(label).alias("pos_here"), F.count("*").alias("n"))
-    up = W.partitionBy(*by).orderBy("__score").rowsBetween(W.unboundedPreceding, -1)
-    ranked = counts.withColumn("mid", F.coalesce(F.sum("n").over(up), F.lit(0)) + (F.col("n") + 1) / F.lit(2.0))
+    ranked = running(counts, list(by), "__score", False, [], {"__below": F.col("n")}).withColumn("mid", F.col("__below") + (F.col("n") + 1) / F.lit(2.0))
     sums = ranked.groupBy(*by).agg(F.sum(F.col("mid") * F.col("pos_here")).alias("r"), F.sum("pos_here").alias("pos"), (F.sum("n") - F.sum("pos_here")).alias("neg"))
     value = (F.col("r") - F.col("pos") * (F.col("pos") + 1) / F.lit(2.0)) / (F.col("pos") * F.col("neg"))
     return sums.select(*by, F.when((F.col("pos") > 0) & (F.col("neg") > 0), value).alias("auroc"))
@@ -82,16 +82,14 @@ def auroc(rows: DataFrame, score: str, label: str, *by: str) -> DataFrame:
 
 def auprc(rows: DataFrame, score: str, label: str, key: str, *by: str) -> DataFrame:
     """Step-wise average precision in the order of falling scores (ties by key)."""
-    down = W.partitionBy(*by).orderBy(F.desc(score), key)
-    ranked = rows.withColumn("__k", F.row_number().over(down)).withColumn("__h", F.sum(label).over(down.rowsBetween(W.unboundedPreceding, 0)))
+    ranked = running(rows, list(by), score, True, [key], {"__k": F.lit(1), "__h": F.col(label)}, inclusive=True)
     return ranked.groupBy(*by).agg((F.sum(F.when(F.col(label) == 1, F.col("__h") / F.col("__k"))) / F.sum(label)).alias("auprc"))
 
 
 def risk_coverage(rows: DataFrame, conf: str, correct: str) -> DataFrame:
     """(conf, coverage, risk) for each distinct confidence, falling."""
     groups = rows.groupBy(conf).agg(F.count("*").alias("n"), F.sum(1.0 - F.col(correct)).alias("wrong"))
-    down = W.orderBy(F.desc(conf)).rowsBetween(W.unboundedPreceding, 0)
-    out = groups.withColumn("seen", F.sum("n").over(down)).withColumn("lost", F.sum("wrong").over(down)).withColumn("all", F.sum("n").over(W.partitionBy()))
+    out = totals(running(groups, [], conf, True, [], {"seen": F.col("n"), "lost": F.col("wrong")}, inclusive=True), [], {"all": F.col("n")})
     return out.select(conf, (F.col("seen") / F.col("all")).alias("coverage"), (F.col("lost") / F.col("seen")).alias("risk"), "n", "all")
 
 
@@ -118,8 +116,7 @@ def predicate_quality(rows: DataFrame, said: Column, gold: Column) -> DataFrame:
 
 def indexed_quantile(rows: DataFrame, value: str, q: float, *by: str) -> DataFrame:
     """The value at place int(q (n - 1)) of the sorted values."""
-    by_ = W.partitionBy(*by)
-    ranked = rows.withColumn("__r", F.row_number().over(by_.orderBy(value)) - 1).withColumn("__n", F.count("*").over(by_))
+    ranked = totals(running(rows, list(by), value, False, [], {"__r": F.lit(1)}), list(by), {"__n": F.lit(1)})
     return ranked.where(F.col("__r") == F.floor(F.lit(q) * (F.col("__n") - 1))).select(*by, F.col(value).alias("q"))
 
 

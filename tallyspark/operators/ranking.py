@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import hashing, probs as P
+from .prefix import running, totals
 
 
 def caught(rows: DataFrame, p: str, yes: str, key: str, share: float, *by: str) -> DataFrame:
     """The share of yes rows in the top share by p (ties by key), at least one row; half-even rounding."""
-    w = W.partitionBy(*by)
-    ranked = rows.withColumn("__r", F.row_number().over(w.orderBy(F.desc(p), key))).withColumn("__n", F.count("*").over(w))
+    ranked = totals(running(rows, list(by), p, True, [key], {"__r": F.lit(1)}, inclusive=True), list(by), {"__n": F.lit(1)})
     top = F.col("__r") <= F.greatest(F.lit(1), F.bround(F.lit(share) * F.col("__n")))
     return ranked.groupBy(*by).agg((F.count_if(F.col(yes) & top) / F.count_if(F.col(yes))).alias("caught"))
 
@@ -75,8 +75,7 @@ def routed(rows: DataFrame, signal: str, keys: list[str], percent: int) -> DataF
     The bound is found on the counts of distinct signals; only rows at the bound itself are ordered among themselves.
     """
     counts = rows.groupBy(F.col(signal).alias("s")).agg(F.count("*").alias("n"))
-    down = W.orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, -1)
-    cells = counts.withColumn("before", F.coalesce(F.sum("n").over(down), F.lit(0))).withColumn("top", F.bround(F.sum("n").over(W.partitionBy()) * F.lit(percent) / 100))
+    cells = totals(running(counts, [], "s", True, [], {"before": F.col("n")}), [], {"total": F.col("n")}).withColumn("top", F.bround(F.col("total") * F.lit(percent) / 100))
     edge = cells.where("before < top AND before + n > top").select(F.col("s").alias("edge"), (F.col("top") - F.col("before")).alias("take"))
     full = cells.where("before + n <= top").agg(F.min("s").alias("least"))
     marked = rows.join(F.broadcast(full)).join(F.broadcast(edge), F.col(signal) == F.col("edge"), "left")  # a row each at most
