@@ -151,9 +151,9 @@ SIGNATURES, SMALLEST, MEMBERS = 4, 4, 512
 
 
 def differing_bits(similarity: float) -> int:
-    """Of SIGNATURES * 64 bits, those that differ on average between two sets of shingles with this Jaccard similarity, and half a deviation."""
+    """Of SIGNATURES * 64 bits, those that differ on average between two sets of shingles with this Jaccard similarity, and one deviation."""
     n, angle = SIGNATURES * BITS, np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(n * angle + 0.5 * np.sqrt(n * angle * (1 - angle)))
+    return int(n * angle + np.sqrt(n * angle * (1 - angle)))
 
 
 def _rehash(x: np.ndarray, k: int) -> np.ndarray:
