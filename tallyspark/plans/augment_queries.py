@@ -272,12 +272,13 @@ def decision_rows(spark, d):
     return decisions(spark, d).select("row_id", F.to_json(F.struct("task", "k")).alias("state"), F.coalesce("label", P.argmax(F.col("probs"))).alias("label"))
 
 
-@query("o049_wire_questions", "SELECT doc_id, map(['true', 'false'], ['yes', 'no']) AS criteria, CASE WHEN quality + toxic > 0 THEN map(['true', 'false'], [round(quality / (quality + toxic)::DOUBLE, 6), round(toxic / (quality + toxic)::DOUBLE, 6)]) END AS probs FROM labels")
+@query("o049_wire_questions", "SELECT doc_id, 'yes' AS said, CASE WHEN quality + toxic > 0 THEN round(quality / (quality + toxic)::DOUBLE, 6) END AS p_true, CASE WHEN quality + toxic > 0 THEN round(toxic / (quality + toxic)::DOUBLE, 6) END AS p_false FROM labels")
 def wire_questions(spark, d):
     s = F.col("quality") + F.col("toxic")
-    keys = F.transform_keys(F.create_map(F.lit("yes"), F.lit("yes"), F.lit("no"), F.lit("no")), lambda k, v: F.when(k == "yes", "true").otherwise("false"))
+    criteria = F.transform_keys(F.create_map(F.lit("yes"), F.lit("yes"), F.lit("no"), F.lit("no")), lambda k, v: F.when(k == "yes", "true").otherwise("false"))
     p = F.when(s > 0, F.create_map(F.lit("true"), R(F.try_divide(F.col("quality"), s)), F.lit("false"), R(F.try_divide(F.col("toxic"), s))))
-    return table(spark, d, "labels").select("doc_id", keys.alias("criteria"), p.alias("probs"))
+    rows = table(spark, d, "labels").select("doc_id", criteria.alias("criteria"), p.alias("probs"))
+    return rows.select("doc_id", F.element_at("criteria", "true").alias("said"), F.element_at("probs", "true").alias("p_true"), F.element_at("probs", "false").alias("p_false"))
 
 
 @query("o045_consensus", f"{_W}, s AS (SELECT row_id, CASE WHEN label IS NULL THEN 'no consensus' WHEN label = -1 THEN 'not a candidate' END AS reason FROM c) SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM s GROUP BY ALL")
