@@ -279,13 +279,7 @@ def grouped(vectors: DataFrame, cosine: float = 0.9, vector: str = "embedding")
     kind = vectors.schema["vec_id"].dataType.simpleString()
     if links is None:
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    spark, before = vectors.sparkSession, vectors.sparkSession.conf.get(batch)
-    spark.conf.set(batch, PAIRS_AT_ONCE)  # rows of this step hold whole blocks
-    try:
-        links, _ = written(links, "ego-links")
-    finally:
-        spark.conf.set(batch, before)
+    links, _ = written(links, "ego-links", PAIRS_AT_ONCE)  # rows of this step hold whole blocks
     counts = links.where("n > 0").groupBy(F.col("vec").alias("r")).agg(F.sum("n").alias("n"))
     found = components(links.where(F.col("other").isNotNull()).select(F.col("vec").alias("a"), F.col("other").alias("b")))
     known = reps.select("rep", "copies").join(counts, F.col("rep") == F.col("r"), "left").join(found, F.col("rep") == F.col("vertex"), "left")

@@ -37,9 +37,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+#: Rows of an Arrow batch in steps that are written here: texts may be long, and a worker holds a batch beside its results.
+BATCH_ROWS = 500
+
+
+def written(df: DataFrame, name: str, batch_rows: int = BATCH_ROWS) -> tuple[DataFrame, str]:
     """The rows as a table in the shared folder, and its path. It cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
+    path, conf = new_path(spark, name), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, batch_rows)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(conf, before)
     return spark.read.schema(df.schema).parquet(path), path
