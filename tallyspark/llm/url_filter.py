@@ -15,6 +15,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .storage import remove, written
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -70,6 +72,7 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule], value=lambda r: r
 def templates(paths: DataFrame, settings: Settings) -> DataFrame:
     """Adds ``template`` and ``family`` (the template without its last literal) to distinct rows (host, path, n, ..)."""
     out = paths.withColumn("segments", F.filter(F.split("path", "/"), lambda s: s != "")).withColumn("template", F.lit("")).withColumn("family", F.lit(""))
+    last = None
     for k in range(1, settings.depth + 1):
         here = F.get("segments", F.lit(k - 1))
         nodes = (
@@ -83,6 +86,11 @@ def templates(paths: DataFrame, settings: Settings) -> DataFrame:
         family = F.when(has & ~varies, F.concat("template", F.lit("/+"))).when(has, F.concat("family", F.lit("/*"))).otherwise(F.col("family"))
         template = F.when(has, F.concat("template", F.lit("/"), F.when(varies, F.lit("*")).otherwise(here))).otherwise(F.col("template"))
         out = out.withColumns({"family": family, "template": template}).drop("node_host", "node", "branches", "pages")
+        # else every level would compute those before it twice
+        out, path = written(out, "url-level")
+        if last:
+            remove(paths.sparkSession, last)
+        last = path
     deep = F.when(F.size("segments") > settings.depth, F.lit("/**")).otherwise("")
     return out.withColumns({"template": F.concat("template", deep), "family": F.concat("family", deep)}).drop("segments")
 
@@ -93,7 +101,7 @@ def judged_paths(paths: DataFrame, settings: Settings) -> DataFrame:
     labelled = F.sum(F.when(F.col("blocked").isNotNull(), F.col("n")).otherwise(0))
     blocks = F.sum(F.when(F.col("blocked") == 1, F.col("n")).otherwise(0))
     tree = templates(paths, settings)
-    branch = tree.groupBy("host", "family", "template").agg(labelled.alias("b_n"), blocks.alias("b_k"))
+    branch, _ = written(tree.groupBy("host", "family", "template").agg(labelled.alias("b_n"), blocks.alias("b_k")), "url-branches")
     family = branch.groupBy("host", "family").agg(F.sum("b_n").alias("f_n"), F.sum("b_k").alias("f_k"))
     hosts = family.groupBy("host").agg(F.sum("f_n").alias("h_n"), F.sum("f_k").alias("h_k"))
     overall = hosts.agg(((F.coalesce(F.sum("h_k"), F.lit(0)) + 1.0) / (F.coalesce(F.sum("h_n"), F.lit(0)) + 2.0)).alias("rate"))
@@ -122,7 +130,8 @@ def judge(pages: DataFrame, rules: Sequence[Rule], settings: Settings = Settings
     rows = pages.select(F.struct(F.lit(0).alias("__"), *kept).alias("row"), host_of(pages[url]).alias("host"), path_of(pages[url]).alias("path"))
     rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("__by_rule", rule_of(F.col("host"), F.col("path"), rules, lambda r: r.verdict))
     paths = rows.groupBy("host", "path", "__by_rule").agg(F.count("*").alias("n")).withColumn("blocked", F.when(F.col("__by_rule") == "block", 1).when(F.col("__by_rule") == "allow", 0))
-    open_ = judged_paths(paths.drop("__by_rule"), settings)
+    paths, _ = written(paths.drop("__by_rule"), "url-paths")
+    open_ = judged_paths(paths, settings)
     open_ = open_.select(F.col("host").alias("j_host"), F.col("path").alias("j_path"), "template", "purity")
     match = F.col("rule").isNull() & (F.col("host") == F.col("j_host")) & (F.col("path") == F.col("j_path"))
     out = rows.join(open_, match, "left")
