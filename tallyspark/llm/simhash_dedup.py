@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import components, spanning
-from .storage import written
+from .storage import release, remove, written
 
 SEED = 42
 BITS, BLOCKS = 64, 4
@@ -146,14 +146,15 @@ def grouped(docs: DataFrame, width: int = 3, distance: int = 2, text: str = "tex
 
 # Near copies at a similarity of 0.8: so many of a fingerprint's bits differ then that differences of pivot distances exclude nothing, and no
 # table's key stays equal. The fingerprint is longer (SIGNATURES numbers), candidates are documents that share one of their SMALLEST
-# least shingle hashes, and members of a candidate group are verified block by block.
-SIGNATURES, SMALLEST, MEMBERS = 4, 4, 512
+# least shingle hashes, and members of a candidate group are compared block by block. Fingerprints only filter, with a limit LOOSE deviations
+# above the mean: what passes is verified by the Jaccard similarity of the sets of shingle hashes. A block has about MEMBERS rows and HASHES hashes.
+SIGNATURES, SMALLEST, MEMBERS, LOOSE, HASHES = 4, 4, 512, 6, 1 << 18
 
 
 def differing_bits(similarity: float) -> int:
-    """Of SIGNATURES * 64 bits, those that differ on average between two sets of shingles with this Jaccard similarity, and one deviation."""
+    """Of SIGNATURES * 64 bits, those that differ on average between two sets of shingles with this Jaccard similarity, and LOOSE deviations."""
     n, angle = SIGNATURES * BITS, np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(n * angle + np.sqrt(n * angle * (1 - angle)))
+    return int(n * angle + LOOSE * np.sqrt(n * angle * (1 - angle)))
 
 
 def _rehash(x: np.ndarray, k: int) -> np.ndarray:
@@ -162,23 +163,32 @@ def _rehash(x: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def signature_of(raw: bytes, width: int) -> tuple[list[int], list[int]]:
-    """The long fingerprint and the smallest shingle hashes of a text; zeros and one zero for a text without words."""
+def shingles_of(raw: bytes, width: int) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, ascending; one zero for a text without words."""
     words = raw.translate(_ASCII_LOWER).split()
     if not words:
-        return [0] * SIGNATURES, [0]
+        return np.zeros(1, dtype="<u8")
     line, n = b" ".join(words), min(width, len(words))
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
     starts = np.concatenate(([0], ends[:-n])).tolist()
-    hashes = np.array([xxhash.xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts, (ends[n - 1 :] - 1).tolist())], dtype="<u8")
-    hashes = np.unique(hashes)
+    return np.unique(np.array([xxhash.xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts, (ends[n - 1 :] - 1).tolist())], dtype="<u8"))
+
+
+def digest_of(hashes: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(hashes.tobytes())
+
+
+def signature_of(hashes: np.ndarray) -> list[int]:
+    """The long fingerprint of a set of shingle hashes; zeros for that of a text without words."""
+    if len(hashes) == 1 and not hashes[0]:
+        return [0] * SIGNATURES
     out = []
     for k in range(SIGNATURES):
         lanes = _SPREAD[_rehash(hashes, k).view(np.uint8).reshape(-1, 8)]
         sums = np.add.reduceat(lanes, np.arange(0, len(hashes), _CHUNK), axis=0)
         counts = np.ascontiguousarray(sums).view(np.uint8).reshape(len(sums), BITS).sum(axis=0, dtype=np.int64)
         out.append(int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<i8")[0]))
-    return out, hashes[:SMALLEST].view("<i8").tolist()
+    return out
 
 
 def near_pairs(a: np.ndarray, b: np.ndarray | None, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -191,12 +201,102 @@ def near_pairs(a: np.ndarray, b: np.ndarray | None, limit: int) -> tuple[np.ndar
     return np.nonzero(np.triu(hit, 1) if b is None else hit)
 
 
+def similar_sets(sets: list[np.ndarray], prints: np.ndarray, first: int, similarity: float, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between sets whose Jaccard similarity is at least ``similarity``, enough to join all that such pairs connect.
+
+    Pairs have one end among the ``first`` sets and the other behind them, or both among all where ``first`` is the number of sets. Those that
+    differ in more than ``limit`` bits of their prints aren't compared, nor are pairs that former links connect already.
+    """
+    sizes = np.array([len(x) for x in sets])
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark, label, left, right = np.zeros(codes.max() + 1, dtype=bool), np.arange(len(sets)), [], []
+    for i in range(first):
+        js = np.arange(i + 1 if first == len(sets) else first, len(sets))
+        js = js[label[js] != label[i]]
+        js = js[np.minimum(sizes[js], sizes[i]) >= similarity * np.maximum(sizes[js], sizes[i]) - 1e-9]
+        js = js[np.bitwise_count(prints[js] ^ prints[i]).sum(axis=1, dtype=np.int64) <= limit]
+        if not len(js):
+            continue
+        own = codes[starts[i] : ends[i]]
+        mark[own] = True
+        found = mark[np.concatenate([codes[starts[j] : ends[j]] for j in js])]
+        mark[own] = False
+        common = np.add.reduceat(found, np.cumsum(sizes[js]) - sizes[js], dtype=np.int64)
+        for j in js[common >= similarity * (sizes[js] + sizes[i] - common) - 1e-9]:
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                left.append(i)
+                right.append(j)
+    return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
+
+
+def _block_pairs(blocks: DataFrame, group: str, lists: dict[str, str]) -> DataFrame:
+    """Of a table of blocks (of a group, numbered): every pair of one group, the second's columns with _b and null where a block meets itself."""
+    a = blocks.select(F.col(group).alias("k"), F.col("block").alias("i"), *[F.col(c).alias(f"{c}_a") for c in lists], F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"))
+    b = blocks.select(F.col(group).alias("l"), F.col("block").alias("m"), *[F.col(c).alias(f"{c}_b") for c in lists])
+    alone = a.where("i = j").select(*[f"{c}_a" for c in lists], *[F.lit(None).cast(t).alias(f"{c}_b") for c, t in lists.items()])
+    two = a.where("i < j").join(b, (F.col("k") == F.col("l")) & (F.col("j") == F.col("m"))).select(*[f"{c}_a" for c in lists], *[f"{c}_b" for c in lists])
+    return alone.union(two)
+
+
+def _similar(docs: DataFrame, reps: DataFrame, links: DataFrame, width: int, similarity: float, text: str) -> DataFrame:
+    """Links (a, b) between classes of ``reps`` that have the similarity. Only what ``links`` connect is compared, block by block, on sets of its texts."""
+    spark, limit = docs.sparkSession, differing_bits(similarity)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    loose = components(links).select("vertex", F.col("component").alias("loose"))
+    members = reps.join(loose, F.col("id") == F.col("vertex")).select("id", "digest", "n", "loose")
+    sizes = members.groupBy(F.col("loose").alias("l")).agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("n") / HASHES)).alias("blocks"))
+    placed = members.join(sizes, F.col("loose") == F.col("l")).withColumn("block", F.pmod(F.xxhash64("id", "digest", F.lit(5)), "blocks"))
+    placed, at_placed = written(placed.select("id", "digest", "loose", "blocks", "block"), "near-members")
+    texts = docs.select("doc_id", F.col(text).cast("binary").alias("__text")).where("doc_id IS NOT NULL")
+    # the hash table holds ids, the texts stream past it; repeated rows count once
+    rows = texts.join(placed.hint("shuffle_hash"), F.col("doc_id") == F.col("id")).withColumn("hash", F.xxhash64("__text")).dropDuplicates(["doc_id", "digest", "hash"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, digests, *rest = batch.columns
+            found = [shingles_of(x.as_py() or b"", width) for x in raw]
+            own = pa.array([digest_of(x) == d.as_py() for x, d in zip(found, digests)], pa.bool_())  # a doc_id may have other texts
+            out = [*rest, pa.array([signature_of(x) for x in found], pa.list_(pa.int64())), pa.array([x.view("<i8") for x in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(out, names=["id", "loose", "blocks", "block", "fp", "hashes"]).filter(own)
+
+    found = rows.select("__text", "digest", "id", "loose", "blocks", "block").mapInArrow(sets, f"id {kind}, loose {kind}, blocks long, block long, fp array<long>, hashes array<long>")
+    lists = {"ids": f"array<{kind}>", "fps": "array<long>", "sizes": "array<int>", "sets": "array<long>"}
+    # about MEMBERS rows and HASHES hashes
+    collected = [F.collect_list("id"), F.flatten(F.collect_list("fp")), F.collect_list(F.size("hashes")), F.flatten(F.collect_list("hashes"))]
+    blocks, at_blocks = written(found.groupBy("loose", "block", "blocks").agg(*[x.alias(c) for x, c in zip(collected, lists)]), "near-blocks")
+    remove(spark, at_placed)
+    release(spark)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = [], []
+            for row in zip(*batch.columns, strict=True):
+                sides = [row[:4], row[4:]] if row[4].is_valid else [row[:4]]
+                ids = pa.concat_arrays([x[0].values for x in sides])
+                prints = np.concatenate([x[1].values.to_numpy() for x in sides]).view(np.uint64).reshape(-1, SIGNATURES)
+                ends = np.cumsum(np.concatenate([x[2].values.to_numpy() for x in sides]))
+                parts = np.split(np.concatenate([x[3].values.to_numpy() for x in sides]), ends[:-1])
+                x, y = similar_sets(parts, prints, len(row[0].values), similarity, limit)
+                left.append(ids.take(pa.array(x)))
+                right.append(ids.take(pa.array(y)))
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(left), pa.concat_arrays(right)], names=["a", "b"])
+
+    out, _ = written(_block_pairs(blocks, "loose", lists).mapInArrow(compare, f"a {kind}, b {kind}"), "near-links", batch_rows=16)
+    remove(spark, at_blocks)
+    return out
+
+
 def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id): near copies of a similarity of word shingles share a component_id, their smallest doc_id; fp is their signature.
 
-    Null and empty texts are copies of each other. Texts with fewer words than ``width`` are one shingle. Equal signatures (copies) are one
+    Null and empty texts are copies of each other. Texts with fewer words than ``width`` are one shingle. Equal sets of shingles (copies) are one
     member however many they are; a candidate group is cut into blocks of about MEMBERS, pairs of blocks are compared by tasks of their own,
-    and each gives no more links than it has members. An empty table gives no rows.
+    and each gives no more links than it has members. What fingerprints connect loosely is then compared by the sets themselves, in such blocks
+    too; only pairs of at least the similarity link. An empty table gives no rows.
     """
     limit = differing_bits(similarity)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -205,19 +305,18 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, raw = batch.columns
-            found = [signature_of(x.as_py() or b"", width) for x in raw]
-            yield pa.RecordBatch.from_arrays([ids, pa.array([x for x, _ in found], pa.list_(pa.int64())), pa.array([y for _, y in found], pa.list_(pa.int64()))], names=["doc_id", "fp", "keys"])
+            found = [(signature_of(x), x[:SMALLEST].view("<i8").tolist(), digest_of(x), len(x)) for x in (shingles_of(x.as_py() or b"", width) for x in raw)]
+            kinds = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([ids, *[pa.array([x[i] for x in found], t) for i, t in enumerate(kinds)]], names=["doc_id", "fp", "keys", "digest", "n"])
 
-    prints, _ = written(source.mapInArrow(run, f"doc_id {kind}, fp array<long>, keys array<long>"), "signatures")
-    reps, _ = written(prints.groupBy("fp").agg(F.min("doc_id").alias("id"), F.min("keys").alias("keys")).where("id IS NOT NULL"), "signature-classes")
+    prints, _ = written(source.mapInArrow(run, f"doc_id {kind}, fp array<long>, keys array<long>, digest binary, n int"), "signatures")
+    classes = prints.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp"), F.min("keys").alias("keys"), F.min("n").alias("n"))
+    reps, _ = written(classes.where("id IS NOT NULL"), "signature-classes")
     rows = reps.select("id", "fp", F.explode("keys").alias("key"))
     sizes = rows.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / MEMBERS))
     placed = rows.join(sizes, F.col("key") == F.col("k")).withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), "blocks"))
     # about MEMBERS rows, by hash
     blocks, _ = written(placed.groupBy("key", "block", "blocks").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("fp")).alias("fps")), "signature-blocks")
-    pairs = blocks.select(F.col("key").alias("k"), F.col("block").alias("i"), F.col("ids").alias("ids_a"), F.col("fps").alias("fps_a"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"))
-    alone = pairs.where("i = j").select("ids_a", "fps_a", F.lit(None).cast(f"array<{kind}>").alias("ids"), F.lit(None).cast("array<long>").alias("fps"))
-    two = pairs.where("i < j").join(blocks, (F.col("k") == F.col("key")) & (F.col("j") == F.col("block"))).select("ids_a", "fps_a", "ids", "fps")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,10 +333,10 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, text:
             if left:
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays(left), pa.concat_arrays(right)], names=["a", "b"])
 
-    links = alone.union(two).mapInArrow(compare, f"a {kind}, b {kind}")
-    found = components(links)
-    member = reps.join(found, reps["id"] == found["vertex"], "left").select(F.col("fp").alias("f"), F.coalesce("component", "id").alias("component_id"))
-    return prints.select("doc_id", "fp").join(member, F.col("fp") == F.col("f"), "left").drop("f")
+    links = _block_pairs(blocks, "key", {"ids": f"array<{kind}>", "fps": "array<long>"}).mapInArrow(compare, f"a {kind}, b {kind}")
+    found = components(_similar(docs, reps, links, width, similarity, text))
+    member = reps.join(found, reps["id"] == found["vertex"], "left").select(F.col("digest").alias("d"), F.coalesce("component", "id").alias("component_id"))
+    return prints.select("doc_id", "fp", "digest").join(member, F.col("digest") == F.col("d"), "left").drop("d", "digest")
 
 
 def deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:

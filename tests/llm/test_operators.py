@@ -292,6 +292,30 @@ def test_near_copies_keep_one_of_each(spark, empty):
     assert simhash_dedup.deduplicated(empty).count() == 0
 
 
+def shingle_set(text, width=5):
+    words = text.lower().split()
+    return {" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+
+
+@pytest.mark.parametrize("members", [4, 512])
+def test_near_groups_against_exact_similarity(spark, monkeypatch, members):
+    monkeypatch.setattr(simhash_dedup, "MEMBERS", members)
+    draw = random.Random(11)
+    rows, edits = [], 0
+    for g in range(150):  # pairs from 0.7 to 0.9
+        words = [f"g{g}w{draw.randrange(10**6)}" for _ in range(204)]
+        edited = list(words)
+        common = round((0.7 + 0.2 * g / 149) * 2 * 200 / (1.7 + 0.2 * g / 149))
+        edited[common + 4 :] = [f"e{edits + k}" for k in range(200 - common)]
+        edits += 1000
+        rows += [(2 * g, " ".join(words), "en", "s", 0), (2 * g + 1, " ".join(edited), "en", "s", 0)]
+    sets = {r[0]: shingle_set(r[1]) for r in rows}
+    exact = {g: len(sets[2 * g] & sets[2 * g + 1]) / len(sets[2 * g] | sets[2 * g + 1]) for g in range(150)}
+    assert min(exact.values()) < 0.72 and max(exact.values()) > 0.88
+    got = {r["doc_id"]: r["component_id"] for r in simhash_dedup.near_groups(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {i: i - 1 if i % 2 and exact[i // 2] >= 0.8 else i for i in sets}
+
+
 def test_near_copies_in_a_large_group(spark, monkeypatch):
     monkeypatch.setattr(simhash_dedup, "MEMBERS", 8)
     draw = random.Random(5)
