@@ -106,5 +106,5 @@ def panel_gaps(spark, d):
 
 @query("o002_valid_rows", r"SELECT doc_id FROM documents WHERE length(regexp_replace(substr(text, 1, 40), '^\s+|\s+$', '', 'g')) >= 3 OR lang IN ('xx') OR lang LIKE '%\_noev' ESCAPE '\'")
 def valid_rows(spark, d):
-    x = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 40).alias("state"), F.col("lang").alias("task"))
+    x = table(spark, d, "documents").select("doc_id", F.col("text").alias("state"), F.col("lang").alias("task"))
     return X.blanks_dropped(x, ["xx"]).select("doc_id")

@@ -38,7 +38,7 @@ def distinct_by_id(spark, d):
 @query("o239_evidence_key", "SELECT min(conv_id * 100 + turn) AS id, count(*) - 1 AS duplicates FROM conversations GROUP BY lower(substr(text, 1, 30))")
 def evidence_key(spark, d):
     c = table(spark, d, "conversations")
-    return c.groupBy(F.lower(F.substring("text", 1, 30)).alias("e")).agg(F.min(F.col("conv_id") * 100 + F.col("turn")).alias("id"), (F.count("*") - 1).alias("duplicates")).select("id", "duplicates")
+    return c.groupBy(F.lower("text").alias("e")).agg(F.min(F.col("conv_id") * 100 + F.col("turn")).alias("id"), (F.count("*") - 1).alias("duplicates")).select("id", "duplicates")
 
 
 @query("o240_recurring_types", "SELECT user_id, count_if(event_type = 'click') AS click, count_if(event_type = 'purchase') AS purchase, count_if(event_type = 'view') AS \"view\" FROM events WHERE event_type IN ('click', 'purchase', 'view') GROUP BY user_id")
