@@ -20,7 +20,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY lang, qid ORDER BY round(score,
 def _bm25(spark, d):
     docs = table(spark, d, "documents")
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), J.word_array(F.substring("text", 1, 60)).alias("words"))
-    q = q.join(F.broadcast(docs.select("lang").distinct().limit(1000)))  # a handful of languages
+    q = q.join(F.broadcast(docs.select("lang").distinct()))  # a handful of languages
     s = K.bm25(q, docs.select("lang", "doc_id", J.word_array(F.col("text")).alias("words")), "lang", "qid", "doc_id")
     return s.withColumn("score", F.round("score", 6))
 

@@ -1,7 +1,5 @@
 """Queries on texts, languages and types beyond what the test tables hold: nothing is cut."""
 
-import pytest
-
 from tallyspark.plans import catalog
 
 
@@ -11,3 +9,9 @@ def test_texts_count_whole(spark, tmp_path):
     assert sorted(map(tuple, catalog.QUERIES["o239_evidence_key"](spark, str(tmp_path)).collect())) == [(0, 0), (100, 1)]
     spark.createDataFrame([(1, " " * 45 + "text", "en"), (2, " " * 90, "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [r[0] for r in catalog.QUERIES["o002_valid_rows"](spark, str(tmp_path)).collect()] == [1]
+
+
+def test_every_language_is_asked(spark, tmp_path):
+    spark.createDataFrame([(i, "word", f"l{i}") for i in range(1005)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "word")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert catalog.QUERIES["o137_bm25"](spark, str(tmp_path)).count() == 1005
