@@ -27,6 +27,8 @@ LEADING, BLOCK, FANOUT = 4, 2048, 8
 PAIRS_AT_ONCE = 2
 #: What double precision may add to a distance of unit vectors.
 SLACK = 1e-7
+#: Different vector lengths of a table; each is grouped by itself, more raise.
+LENGTHS = 1000
 
 
 def clean(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -268,7 +270,9 @@ def grouped(vectors: DataFrame, cosine: float = 0.9, vector: str = "embedding")
     epsilon = float(np.sqrt(2 - 2 * cosine)) + SLACK
     ids = vectors.select("vec_id", F.col(vector).cast("array<double>").alias("v"))
     reps, _ = written(clean(vectors, vector), "unit-vectors")
-    sizes = [r["n"] for r in reps.select(F.octet_length("x").alias("n")).groupBy("n").count().orderBy("n").limit(1000).collect()]
+    sizes = [r["n"] for r in reps.select(F.octet_length("x").alias("n")).groupBy("n").count().orderBy("n").limit(LENGTHS + 1).collect()]
+    if len(sizes) > LENGTHS:
+        raise ValueError(f"vectors of more than {LENGTHS} different lengths")
     number, links = number_kind(vectors, vector), None
     for size in sizes:  # the embedding's dimension; several only in a mixed table
         mine = reps.where(F.octet_length("x") == size)

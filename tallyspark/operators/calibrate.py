@@ -40,7 +40,9 @@ def golden_section(rows: DataFrame, by: str, low: float, high: float, rounds: in
     """
     ratio = (math.sqrt(5) - 1) / 2
     spark = rows.sparkSession
-    state = {r[by]: [math.log(low), math.log(high)] for r in rows.select(by).distinct().limit(bins).collect()}
+    state = {r[by]: [math.log(low), math.log(high)] for r in rows.select(by).distinct().limit(bins + 1).collect()}
+    if len(state) > bins:
+        raise ValueError(f"more than {bins} types")
     for _ in range(rounds):
         probes = [(k, math.exp(b - ratio * (b - a)), math.exp(a + ratio * (b - a))) for k, (a, b) in state.items()]
         found = _at(spark, rows, by, probes)

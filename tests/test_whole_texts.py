@@ -1,5 +1,9 @@
 """Queries on texts, languages and types beyond what the test tables hold: nothing is cut."""
 
+import pytest
+
+from tallyspark.llm import embedding_dedup
+from tallyspark.operators import calibrate
 from tallyspark.plans import catalog
 
 
@@ -15,3 +19,14 @@ def test_every_language_is_asked(spark, tmp_path):
     spark.createDataFrame([(i, "word", f"l{i}") for i in range(1005)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "word")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert catalog.QUERIES["o137_bm25"](spark, str(tmp_path)).count() == 1005
+
+
+def test_too_many_lengths_or_types_raise(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "LENGTHS", 2)
+    vectors = lambda n: spark.createDataFrame([(i, [1.0] * (i + 1)) for i in range(n)], "vec_id long, embedding array<double>")
+    assert embedding_dedup.grouped(vectors(2)).count() == 2
+    with pytest.raises(ValueError):
+        embedding_dedup.grouped(vectors(3))
+    rows = spark.createDataFrame([(f"t{i}", [1.0, 0.0], [1.0, 0.0]) for i in range(3)], "type string, logits array<double>, target array<double>")
+    with pytest.raises(ValueError):
+        calibrate.golden_section(rows, "type", 0.1, 10.0, 2, bins=2)
