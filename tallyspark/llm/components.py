@@ -1,8 +1,9 @@
 """Connected components of an edge table by alternating large and small stars.
 
 Each round is two joins with per-vertex minima; its edges are written to the shared folder, so lineage stays short and a lost executor costs one
-round. Vertices with very many edges are safe: minima are partial aggregates, and joins are plain equi-joins whose hot partitions Spark splits.
-Nothing but a count and a checksum of a round reaches the driver.
+round. A vertex with very many edges is safe: minima are partial aggregates, written before the join, so that they are broadcast while Spark knows
+them to be small, and beyond that the hot partition of edges is split (Spark splits none beside an aggregate of the same exchange). Nothing but a
+count and a checksum of a round reaches the driver.
 """
 
 from __future__ import annotations
@@ -26,8 +27,12 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     for _ in range(rounds):
         if not state[0]:
             break
-        nxt, to = written(_small_star(_large_star(now)), "edges")
-        remove(spark, path)
+        stars, at = _large_star(now)
+        moved, via = written(stars, "edges")
+        remove(spark, path, at)
+        stars, at = _small_star(moved)
+        nxt, to = written(stars, "edges")
+        remove(spark, via, at)
         release(spark)
         now, path, before, state = nxt, to, state, _checksum(nxt)
         if state == before:
@@ -44,20 +49,20 @@ def _checksum(edges: DataFrame) -> tuple:
     return got["n"], got["s"]
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every vertex joins its larger neighbours to the smallest vertex of its neighbourhood."""
+def _large_star(edges: DataFrame) -> tuple[DataFrame, str]:
+    """Every vertex joins its larger neighbours to the smallest vertex of its neighbourhood. Also the path of the minima that it reads."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).withColumn("m", F.least("v", "m"))
+    least, at = written(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).withColumn("m", F.least("v", "m")), "minima")
     # the larger neighbours of v are the b of the ordered edges (v, b)
-    return edges.join(least, edges["a"] == least["v"]).select(F.col("m").alias("a"), F.col("b")).distinct()
+    return edges.join(least, edges["a"] == least["v"]).select(F.col("m").alias("a"), F.col("b")).distinct(), at
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Every vertex joins its smaller neighbours and itself to the smallest of them."""
-    least = edges.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("m"))
+def _small_star(edges: DataFrame) -> tuple[DataFrame, str]:
+    """Every vertex joins its smaller neighbours and itself to the smallest of them. Also the path of the minima that it reads."""
+    least, at = written(edges.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("m")), "minima")
     moved = edges.join(least, edges["b"] == least["v"]).where("a != m").select(F.col("m").alias("x"), F.col("a").alias("y"))
     own = least.select(F.col("m").alias("x"), F.col("v").alias("y"))
-    return moved.union(own).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a != b").distinct()
+    return moved.union(own).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a != b").distinct(), at
 
 
 def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
