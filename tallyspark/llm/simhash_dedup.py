@@ -5,10 +5,10 @@ Fingerprints that differ in at most ``distance`` bits have, to every reference f
 more than ``distance`` can be touched, linked fingerprints have exactly equal restricted distances in one of the tables, so candidates come from
 equi-joins. Candidates whose unrestricted distances differ by more than ``distance`` in any coordinate are discarded; survivors are verified.
 
-Scale: documents with equal fingerprints are one row. A candidate bucket above ``BUCKET`` fingerprints isn't joined with itself:
-each of its members sends one row for each fingerprint within half the distance, and members that meet in one are within the distance of
-each other, so a star to the least of them keeps all connections, at a cost linear in the bucket. Hot copies and hot buckets thus never give a
-quadratic number of pairs, and nothing is dropped.
+Scale: documents with equal fingerprints are one row. A candidate bucket above ``BUCKET`` fingerprints is refined: the bits that its table leaves
+free are cut into blocks in turn, and its members go to the finer tables of these, whose keys again are equal for linked ones. So every pair is
+found, discarded or verified in the same way, a bucket's members meet BUCKET others at most, and after three levels the eight free bits
+bound a bucket by themselves. The cost is linear in the fingerprints; hot copies and hot buckets never give a quadratic number of pairs.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ from .storage import release, remove, written
 
 SEED = 42
 BITS, BLOCKS = 64, 4
-BUCKET = 32
+#: Fingerprints that a bucket has at most before it is refined, and the free bits at which it isn't any more.
+BUCKET, FREE = 32, 8
 #: Pivots of a candidate table (their restricted distances are its key) and of the filter.
 TABLE_PIVOTS, FILTER_PIVOTS = 20, 16
 
@@ -81,48 +82,58 @@ def fingerprints(docs: DataFrame, keep: list[str], width: int = 3, text: str = "
     return source.mapInArrow(run, f"{source.drop('__text').schema.simpleString()[7:-1]}, fp long")
 
 
-def _distance(fp: Column, pivot: int, mask: int = (1 << 64) - 1) -> Column:
-    return F.bit_count(fp.bitwiseXOR(F.lit(_signed(pivot))).bitwiseAND(F.lit(_signed(mask))))
+def _distance(fp: Column, pivot: int) -> Column:
+    return F.bit_count(fp.bitwiseXOR(F.lit(_signed(pivot))))
 
 
-def _tables(distance: int) -> list[int]:
-    """Masks: every choice of BLOCKS - distance of the blocks."""
-    block = BITS // BLOCKS
-    return [sum(((1 << block) - 1) << (block * b) for b in chosen) for chosen in combinations(range(BLOCKS), BLOCKS - distance)]
+def _tables(mask: int, distance: int) -> list[int]:
+    """Masks: the bits of ``mask`` and every choice of BLOCKS - distance of the blocks that the other bits are cut into."""
+    free = [i for i in range(BITS) if not mask >> i & 1]
+    size = len(free) // BLOCKS
+    blocks = [sum(1 << i for i in free[size * b : size * (b + 1)]) for b in range(BLOCKS)]
+    return [mask | sum(chosen) for chosen in combinations(blocks, BLOCKS - distance)]
 
 
-def _table_key(fp: Column, mask: int, table: int) -> Column:
-    """The restricted distances, six bits each, ten to a number."""
-    ds = [_distance(fp, p, mask).cast("long") for p in pivots(TABLE_PIVOTS, 100 + table)]
-    packed = [sum((d * F.lit(64**i).cast("long") for i, d in enumerate(ds[a : a + 10])), F.lit(0).cast("long")) for a in range(0, TABLE_PIVOTS, 10)]
-    return F.struct(F.lit(table).alias("t"), *[x.alias(f"k{i}") for i, x in enumerate(packed)])
+def _restricted(rows: DataFrame) -> DataFrame:
+    """Rows (fp, mask) with the key of fp in the mask's table: distances to TABLE_PIVOTS pivots restricted to the mask, six bits each, ten to a number."""
+    ds = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(p))).bitwiseAND(F.col("mask"))).cast("long") for p in pivots(TABLE_PIVOTS, 100)]
+    packed = [sum((F.shiftleft(d, 6 * i) for i, d in enumerate(ds[a : a + 10])), F.lit(0).cast("long")) for a in range(0, TABLE_PIVOTS, 10)]
+    return rows.select("fp", "mask", *[x.alias(f"k{i}") for i, x in enumerate(packed)])
 
 
 def linked(prints: DataFrame, distance: int = 2) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints (column fp): with them, fingerprints within the distance are connected, others aren't by an edge."""
-    if not 0 < distance < BLOCKS or distance % 2:
-        raise ValueError("the distance must be 2")
-    # one row for each table
-    keys = F.array(*[_table_key(F.col("fp"), m, i) for i, m in enumerate(_tables(distance))])
-    rows = prints.select("fp", F.explode(keys).alias("key")).select("fp", "key.*")
-    key = ["t", *[f"k{i}" for i in range(TABLE_PIVOTS // 10)]]
-    sizes = rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
-    shared, _ = written(rows.join(sizes, key), "simhash-buckets")
-    small = shared.where(F.col("n") <= BUCKET)
-    left = small.select(F.col("fp").alias("a"), *key)
-    right = small.select(F.col("fp").alias("b"), *key)
-    filters = pivots(FILTER_PIVOTS, 7)
-    near = left.join(right, key).where("a < b")
-    for p in filters:  # the maximum coordinate difference
-        near = near.where(F.abs(_distance(F.col("a"), p) - _distance(F.col("b"), p)) <= distance)
-    verified = near.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance).select("a", "b")
-    # hot buckets: whoever shares a middle is within the distance; fingerprints within the distance share one
-    hot = shared.where(F.col("n") > BUCKET).select("fp").distinct()
-    middles = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(BITS)])
-    met = hot.select("fp", F.explode(middles).alias("middle"))
-    least = met.groupBy("middle").agg(F.min("fp").alias("a"), F.max("fp").alias("m")).where("a < m").drop("m")
-    stars = met.join(least, "middle").where("a < fp").select("a", F.col("fp").alias("b"))
-    return verified.union(stars).distinct()
+    """Edges (a, b) between all distinct fingerprints (column fp) that differ in at most ``distance`` bits, a < b; an edge may occur twice."""
+    if distance not in (1, 2):
+        raise ValueError("the distance must be 1 or 2")
+    spark = prints.sparkSession
+    key = ["mask", *[f"k{i}" for i in range(TABLE_PIVOTS // 10)]]
+    masks, out, last = _tables(0, distance), None, None
+    rows = prints.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"))
+    while True:
+        rows, free = _restricted(rows), BITS - masks[0].bit_count()
+        # written before the join, so that a hot bucket's rows are split there
+        sizes, at_sizes = written(rows.groupBy(*[F.col(c).alias(f"s_{c}") for c in key]).agg(F.count("*").alias("n")).where("n > 1"), "simhash-sizes")
+        same = F.lit(True)
+        for c in key:
+            same = same & (F.col(c) == F.col(f"s_{c}"))
+        shared, at_shared = written(rows.join(sizes, same).select("fp", *key, "n"), "simhash-buckets")
+        remove(spark, at_sizes, *([last] if last else []))
+        small = shared if free <= FREE else shared.where(F.col("n") <= BUCKET)
+        left, right = (small.select(F.col("fp").alias(c), *key) for c in "ab")
+        near = left.join(right, key).where("a < b")
+        for p in pivots(FILTER_PIVOTS, 7):  # the maximum coordinate difference
+            near = near.where(F.abs(_distance(F.col("a"), p) - _distance(F.col("b"), p)) <= distance)
+        near, _ = written(near.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance).select("a", "b"), "simhash-edges")
+        out, last = near if out is None else out.union(near), at_shared
+        big = shared.where(F.col("n") > BUCKET)
+        if free <= FREE or big.isEmpty():
+            break
+        # a row for each table, 216 at most
+        finer = spark.createDataFrame([(_signed(m), _signed(f)) for m in masks for f in _tables(m, distance)], "m long, finer long")
+        rows = big.join(F.broadcast(finer), F.col("mask") == F.col("m")).select("fp", F.col("finer").alias("mask")).distinct()
+        masks = [f for m in masks for f in _tables(m, distance)]
+    remove(spark, last)
+    return out
 
 
 def grouped(docs: DataFrame, width: int = 3, distance: int = 2, text: str = "text", keep: list[str] | None = None) -> DataFrame:
