@@ -82,7 +82,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secret_scan
 
-    found = secret_scan.scan(_documents(spark, sf_dir).select("doc_id", "text"))
+    found = secret_scan.scan(_documents(spark, sf_dir), keep=["doc_id"])
     base = F.filter("secrets", lambda s: s["kind"] < 3)
     count = lambda k: F.size(F.filter("secrets", lambda s: s["kind"] == k)).cast("long")
     return found.select(

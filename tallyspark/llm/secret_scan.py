@@ -1,18 +1,21 @@
 """Secret scan: base patterns, and a battery of randomness tests over tokens that no pattern knows.
 
 A token's encoding is inferred from its characters. Three tests ask whether it could be random in that encoding: chi-squared uniformity over
-parts of the alphabet, the runs test about the alphabet's middle, and serial correlation. "It isn't random" is the discovery, and the
-Benjamini-Hochberg procedure holds its false discovery rate in each stratum of lengths, so that a real secret is rarely
-thrown away; the tokens that remain are the findings.
+parts of the alphabet, the runs test about the alphabet's middle, and serial correlation. Random tokens have uniform p-values, other text has
+small ones. So in each stratum of lengths the p-values above ``TRUSTED`` say how many random tokens there are, and the findings are the tokens
+above the least p-value at which at most ``FALSE_DISCOVERY`` of the reported ones exceed that uniform share.
 
-Scale: two maps over the documents and, between them, a histogram of p-values with at most ``STRATA`` x ``BINS`` cells. No shuffle of texts or
-tokens, so neither hot keys nor long documents meet in a task. DataFrame functions only.
+Scale: one map over the documents, whose spans are written, and a histogram of p-values with at most ``STRATA`` x ``BINS`` cells. No shuffle of texts
+or tokens, so neither hot keys nor long documents meet in a task. Work in a text grows with n log n of its matches, but for running sums, which are
+taken in chunks. DataFrame functions only.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .storage import written
+
 # The base patterns, and the least length of what they must find (the second group's for "assign").
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -24,9 +27,11 @@ KINDS = ("assign", "access", "hex", "random")
 TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 #: A tested token has letters and digits, or capitals behind small letters.
 MIXED = r"[0-9][A-Za-z]|[A-Za-z][0-9]|[a-z][A-Z].*[a-z][A-Z]"
-FALSE_DISCOVERY = 0.05
-#: Lengths count in strata of powers of the square root of two; p-values in bins of a fiftieth of a power of ten.
-STRATA, BINS, BINS_A_POWER = 48, 600, 50
+FALSE_DISCOVERY, TRUSTED = 0.05, 0.2
+#: Lengths count in strata of powers of the square root of two; p-values in bins of equal width.
+STRATA, BINS = 48, 100
+#: Items of a running sum that are added one by one.
+CHUNK = 256
 
 # Alphabets by encoding, and the bounds of the parts whose counts are compared.
 ALPHABETS = {
@@ -38,26 +43,61 @@ ALPHABETS = {
 }
 
 
+def _bound(x: Column, f) -> Column:
+    """f of x, which is evaluated once however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _running(values: Column, combine) -> Column:
+    """For each of an array's whole numbers, all before it combined (0 for the first). In chunks: a single fold that appends is quadratic."""
+    kind = "struct<at:int,found:array<int>>"
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found")).cast(kind)
+
+    def fold(items):
+        return F.aggregate(items, begin, lambda acc, v: F.struct(combine(acc["at"], v).alias("at"), F.concat(acc["found"], F.array(acc["at"])).alias("found")).cast(kind))
+
+    def whole(xs):
+        chunks = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(xs) - 1, F.lit(0)) / CHUNK).cast("int")), lambda k: fold(F.slice(xs, k * CHUNK + 1, CHUNK)))
+        return _bound(chunks, lambda cs: F.flatten(F.zip_with(cs, fold(F.transform(cs, lambda c: c["at"]))["found"], lambda c, base: F.transform(c["found"], lambda v: combine(base, v)))))
+
+    return _bound(values, whole)
+
+
 def located(text: Column, pattern: str, least: int = 0, group: int = 0) -> Column:
-    """Leftmost non-overlapping matches as structs (start, stop, value, own): code points, stop exclusive; own is the group, ``least`` its least length.
+    """Leftmost non-overlapping matches as structs (start, stop, value): code points, stop exclusive; the group has at least ``least`` characters.
 
     The text between the matches is what split() returns, so running sums of both lengths give the places.
     """
+    kind = "array<struct<start:int,stop:int,value:string>>"
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    own = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("value"), own.alias("own"))
-    kind = "struct<at:int,found:array<struct<start:int,stop:int,value:string,own:string>>>"
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,value:string,own:string>>").alias("found")).cast(kind)
+    size = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.length) if group else F.transform(found, F.length)
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("value"), size.alias("size"))
 
-    def step(acc, p):
-        start = acc["at"] + F.length(p["gap"])
-        stop = start + F.coalesce(F.length(p["value"]), F.lit(0))
-        item = F.struct(start.alias("start"), stop.alias("stop"), p["value"].alias("value"), p["own"].alias("own"))
-        good = p["value"].isNotNull() & (F.length(p["own"]) >= least)
-        return F.struct(stop.alias("at"), F.when(good, F.concat(acc["found"], F.array(item))).otherwise(acc["found"]).alias("found")).cast(kind)
+    def placed(ps):
+        begins = _running(F.transform(ps, lambda p: F.length(p["gap"]) + F.coalesce(F.length(p["value"]), F.lit(0))), lambda a, b: a + b)
+        good = F.zip_with(ps, begins, lambda p, at: F.when(p["size"] >= least, _span(at + F.length(p["gap"]), p["value"])))
+        return F.filter(good, lambda x: x.isNotNull())
 
-    all_ = F.aggregate(parts, begin, step, lambda acc: acc["found"])
-    return F.when(text.rlike(pattern), all_).otherwise(F.array().cast("array<struct<start:int,stop:int,value:string,own:string>>"))
+    return F.when(text.rlike(pattern), _bound(parts, placed)).otherwise(F.array().cast(kind))
+
+
+def _span(start: Column, value: Column) -> Column:
+    return F.struct(start.alias("start"), (start + F.length(value)).alias("stop"), value.alias("value"))
+
+
+def _apart(tokens: Column, known: Column) -> Column:
+    """The tokens that overlap none of the known spans: swept by place, a token begins behind every known span that starts before its end."""
+    kind = "array<struct<at:int,rank:int,stop:int,token:struct<start:int,stop:int,value:string>>>"
+    nothing = F.lit(None).cast("struct<start:int,stop:int,value:string>")
+    ends = F.transform(tokens, lambda t: F.struct(t["stop"].alias("at"), F.lit(0).alias("rank"), F.lit(0).alias("stop"), t.alias("token"))).cast(kind)
+    starts = F.transform(known, lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("rank"), b["stop"].alias("stop"), nothing.alias("token"))).cast(kind)
+
+    def swept(events):
+        reach = _running(F.transform(events, lambda e: e["stop"]), F.greatest)
+        free = F.zip_with(events, reach, lambda e, r: F.when(r <= e["token"]["start"], e["token"]))
+        return F.filter(free, lambda t: t.isNotNull())
+
+    return _bound(F.array_sort(F.concat(ends, starts)), swept)
 
 
 def _normal_tail(z: Column) -> Column:
@@ -95,7 +135,7 @@ def _numbered(value: Column, encoding: Column) -> Column:
 
 
 def tested(tokens: Column) -> Column:
-    """Structs (start, stop, stratum, p): p is the battery's combined p-value of "random in its encoding" (three times the least)."""
+    """Structs (start, stop, stratum, p): p is the battery's combined p-value of "random in its encoding", uniform for random tokens (Sidak)."""
     named = F.transform(tokens, lambda t: F.struct(t["start"].alias("start"), t["stop"].alias("stop"), F.rtrim(t["value"], F.lit("=")).alias("value")))
     named = F.transform(named, lambda t: F.struct(t["start"].alias("start"), t["stop"].alias("stop"), t["value"].alias("value"), _encoding(t["value"]).alias("encoding")))
 
@@ -141,7 +181,7 @@ def tested(tokens: Column) -> Column:
         spread = both * (both - n) / (n * n * (n - 1.0))
         runs = F.when(spread > 0, _two_sided((t["runs"] - both / n - 1.0) / F.sqrt(spread))).otherwise(0.0)
         serial = F.when(t["spread"] > 0, _two_sided(t["serial"] / t["spread"] * F.sqrt(n))).otherwise(0.0)
-        p = F.least(F.lit(1.0), 3.0 * F.least(uniform, runs, serial))
+        p = 1.0 - F.pow(1.0 - F.least(uniform, runs, serial), F.lit(3.0))
         stratum = F.least(F.lit(STRATA - 1), F.floor(2.0 * F.log2(F.greatest(n, F.lit(1.0)))).cast("int"))
         return F.struct(t["start"].alias("start"), t["stop"].alias("stop"), stratum.alias("stratum"), p.alias("p"))
 
@@ -149,54 +189,55 @@ def tested(tokens: Column) -> Column:
 
 
 def _bin(p: Column) -> Column:
-    """0 for the largest p-values; each bin stands for its upper end."""
-    return F.least(F.lit(BINS - 1), F.floor(-F.log10(F.greatest(p, F.lit(1e-300))) * BINS_A_POWER).cast("int"))
+    return F.least(F.lit(BINS - 1), F.floor(p * BINS).cast("int"))
 
 
-def with_spans(docs: DataFrame, text: str) -> DataFrame:
-    """Adds __assign, __access, __hex (located matches) and __tested (tested tokens that touch none of them)."""
+def with_spans(rows: DataFrame, text: str) -> DataFrame:
+    """Rows with __assign, __access, __hex (located matches) and __tested (tested tokens that touch none of them) instead of the text."""
     # long runs only: a maximal run is found at the same place with or without its least length in the pattern
-    base = docs.withColumn("__text", F.coalesce(F.col(text).cast("string"), F.lit("")))
-    base = base.withColumns({
-        "__assign": located(F.col("__text"), ASSIGN, MIN_ASSIGN, 2),
-        "__access": located(F.col("__text"), rf"AKIA[A-Z0-9]{{{MIN_ACCESS - 4},}}", MIN_ACCESS),
-        "__hex": located(F.col("__text"), rf"[0-9a-f]{{{MIN_HEX},}}", MIN_HEX),
-        "__tokens": located(F.col("__text"), TOKEN),
+    base = rows.withColumns({
+        "__assign": located(F.col(text), ASSIGN, MIN_ASSIGN, 2),
+        "__access": located(F.col(text), rf"AKIA[A-Z0-9]{{{MIN_ACCESS - 4},}}", MIN_ACCESS),
+        "__hex": located(F.col(text), rf"[0-9a-f]{{{MIN_HEX},}}", MIN_HEX),
+        "__tokens": located(F.col(text), TOKEN),
     })
+    mixed = F.filter("__tokens", lambda t: t["value"].rlike(MIXED))
     known = F.concat("__assign", "__access", "__hex")
-    base = base.withColumn("__known", known)
-    fresh = F.filter("__tokens", lambda t: t["value"].rlike(MIXED) & ~F.exists("__known", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
-    base = base.withColumn("__tokens", F.when(F.size("__tokens") > 0, fresh).otherwise(F.col("__tokens")))
-    return base.withColumn("__tested", tested(F.col("__tokens"))).drop("__text", "__tokens", "__known")
+    fresh = F.when(F.size("__tokens") > 0, _apart(mixed, known)).otherwise(F.col("__tokens"))
+    return base.withColumn("__tokens", fresh).withColumn("__tested", tested(F.col("__tokens"))).drop("__tokens")
 
 
 def thresholds(rows: DataFrame) -> dict[int, int]:
-    """By stratum, the least bin whose p-values are discoveries ("not random") at FALSE_DISCOVERY; strata without any are left out."""
+    """By stratum, the least bin of p-values that are findings; strata without any are left out."""
     cells = rows.select(F.explode("__tested").alias("t")).groupBy(F.col("t.stratum").alias("stratum"), _bin(F.col("t.p")).alias("bin")).agg(F.count("*").alias("n"))
-    least = W.partitionBy("stratum").orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, 0)
-    cells = cells.withColumn("seen", F.sum("n").over(least)).withColumn("all", F.sum("n").over(W.partitionBy("stratum")))
-    upper = F.pow(F.lit(10.0), -F.col("bin") / BINS_A_POWER)
-    found = cells.where(upper * F.col("all") <= FALSE_DISCOVERY * F.col("seen")).groupBy("stratum").agg(F.min("bin").alias("bin"))
+    above, all_ = W.partitionBy("stratum").orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, 0), W.partitionBy("stratum")
+    trusted = int(TRUSTED * BINS)
+    random = F.sum(F.when(F.col("bin") >= trusted, F.col("n")).otherwise(0)).over(all_) / (1 - trusted / BINS)
+    cells = cells.withColumns({"seen": F.sum("n").over(above), "random": random})
+    wrong = F.col("seen") - F.col("random") * (1.0 - F.col("bin") / BINS)
+    found = cells.where((F.col("random") > 0) & ((wrong <= FALSE_DISCOVERY * F.col("seen")) | (F.col("bin") >= trusted))).groupBy("stratum").agg(F.min("bin").alias("bin"))
     return {r["stratum"]: r["bin"] for r in found.collect()}  # at most STRATA rows
 
 
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``secrets`` to the documents: structs (start, kind, stop), by start and then by kind as listed in KINDS (kind is its number there).
+def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``keep`` (all columns but ``secrets`` where None) and ``secrets``: structs (start, kind, stop), by start and then by kind as listed in KINDS (kind is its number there).
 
-    A null or empty text has no secrets; repeated rows each get their row; an empty table gives no rows. Columns named like working columns
-    (two underscores first) or ``secrets`` are replaced.
+    A null or empty text has no secrets; repeated rows each get their row; an empty table gives no rows. A column that is named ``secrets`` is
+    replaced, all others stay. Texts are read once; what is kept of the rows is written with the spans.
     """
-    docs = docs.drop("secrets", "__text", "__assign", "__access", "__hex", "__tokens", "__known", "__tested")
-    rows = with_spans(docs, text)
+    kept = [c for c in docs.columns if c != "secrets"] if keep is None else keep
+    # the kept columns travel as one, so their names can't clash with any other
+    rows = docs.select(F.struct(F.lit(0).alias("__"), *kept).alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
+    rows, _ = written(with_spans(rows, "__text").drop("__text"), "secret-spans")
     bounds = thresholds(rows.select("__tested"))
     limits = F.create_map(*[F.lit(v) for pair in bounds.items() for v in pair]) if bounds else F.create_map(F.lit(-1), F.lit(BINS))
-    random = F.filter("__tested", lambda t: _bin(t["p"]) < F.coalesce(F.try_element_at(limits, t["stratum"]), F.lit(BINS)))
+    random = F.filter("__tested", lambda t: _bin(t["p"]) >= F.coalesce(F.try_element_at(limits, t["stratum"]), F.lit(BINS)))
 
     def as_spans(spans: Column, kind: int) -> Column:
         return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["stop"].alias("stop")))
 
     found = F.concat(as_spans(F.col("__assign"), 0), as_spans(F.col("__access"), 1), as_spans(F.col("__hex"), 2), as_spans(random, 3))
-    return rows.withColumn("secrets", F.array_sort(found)).drop("__assign", "__access", "__hex", "__tested")
+    return rows.select(*[F.col("row")[c].alias(c) for c in kept], F.array_sort(found).alias("secrets"))
 
 
 def joined(spans: Column) -> Column:
@@ -206,17 +247,25 @@ def joined(spans: Column) -> Column:
 
 
 def redacted(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
-    """The documents with each secret's span (overlapping ones as one) replaced by ``mark``; a null text stays null."""
+    """The documents with each secret's span (overlapping ones as one) replaced by ``mark``; a null text stays null, all columns stay."""
     # the documents' columns travel as one, so their names can't clash with any other
     rows = scan(docs.select(F.struct(*docs.columns).alias("row"), F.col(text).cast("string").alias("text")), "text")
-    kept, name, text = docs.columns, text, "text"
-    kind = "struct<at:int,parts:array<string>>"
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")).cast(kind)
+    kind = "array<struct<start:int,stop:int,at:int>>"
+
+    def pieces(spans):
+        """Spans with the furthest end before each; what lies between is kept. A chunk's part of the text is cut out once."""
+        reach = _running(F.transform(spans, lambda s: s["stop"]), F.greatest)
+        items = F.zip_with(spans, reach, lambda s, r: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), r.alias("at"))).cast(kind)
+
+        def chunk(part):
+            first = F.get(part, F.lit(0))["at"]
+            last = F.array_max(F.transform(part, lambda s: F.greatest(s["start"], first)))
+            return _bound(F.struct(F.substring(F.col("text"), first + 1, last - first).alias("text"), first.alias("first")), lambda cut: F.array_join(F.transform(part, lambda s: F.when(
+                s["start"] >= s["at"], F.concat(F.substring(cut["text"], s["at"] - cut["first"] + 1, s["start"] - s["at"]), F.lit(mark))).otherwise("")), ""))
 
-    def step(acc, s):
-        part = F.when(s["start"] >= acc["at"], F.concat(F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise("")
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.concat(acc["parts"], F.array(part)).alias("parts")).cast(kind)
+        return _bound(items, lambda xs: F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / CHUNK).cast("int")), lambda k: _bound(F.slice(xs, k * CHUNK + 1, CHUNK), chunk)))
 
-    whole = F.aggregate("secrets", begin, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(F.col(text), acc["at"] + 1, F.length(text))))
-    clean = F.when(F.size("secrets") > 0, whole).otherwise(F.col(text))
-    return rows.select(*[clean.alias(c) if c == name else F.col("row")[c].alias(c) for c in kept])
+    end = F.array_max(F.transform("secrets", lambda s: s["stop"]))
+    whole = F.concat(F.array_join(pieces(F.col("secrets")), ""), F.substring(F.col("text"), end + 1, F.length("text")))
+    clean = F.when(F.size("secrets") > 0, whole).otherwise(F.col("text"))
+    return rows.select(*[clean.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
