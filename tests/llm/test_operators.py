@@ -423,6 +423,55 @@ def test_gradient_of_the_network():
         down[name][i] -= 1e-3
         slope = (toxicity.gradients(up, x, mask, y, w)[0] - toxicity.gradients(down, x, mask, y, w)[0]) / 2e-3
         assert abs(slope - g[name][i]) < 2e-3, name
+    for i in ((0, 0, 0), (4, 2, 5), (2, 1, 12)):
+        up, down = x.copy(), x.copy()
+        up[i] += 1e-3
+        down[i] -= 1e-3
+        slope = (toxicity.gradients(p, up, mask, y, w)[0] - toxicity.gradients(p, down, mask, y, w)[0]) / 2e-3
+        assert abs(slope - g["x"][i]) < 1e-4
+
+
+def test_gradient_of_the_embeddings():
+    draw = np.random.default_rng(1)
+    net = toxicity.Network(*(draw.normal(size=(1 << toxicity.HASH_BITS, toxicity.DEPTH)) for _ in range(2)), toxicity.initial())
+    words = [b"a", b"idiot", "für".encode(), b"idiots"]
+    part = toxicity._word_hash(words), *toxicity._grams(words)
+    assert [int(n) for n in np.diff(np.append(part[2], len(part[1])))] == [1, 5 + 3, 4 + 2, 6 + 4]
+    d = draw.normal(size=(4, toxicity.INPUTS))
+    for table, found in zip((net.words, net.grams), net.embedding_gradients(d, *part)):
+        for row in {int(part[0][1]), int(part[1][0]), int(part[1][7])}:
+            before, slopes = table[row, 1], []
+            for step in (1e-4, -1e-4):
+                table[row, 1] = before + step
+                slopes.append((net.embedded(*part).astype(np.float64) * d).sum())
+            table[row, 1] = before
+            assert abs((slopes[0] - slopes[1]) / 2e-4 - found[row, 1]) < 2e-2
+
+
+def test_scores_are_those_of_single_windows():
+    rows = toxic_corpus(120)
+    net = toxicity.train([toxicity.windows_of(t) for _, t, _ in rows], [y for _, _, y in rows])
+    texts = [t for _, t, _ in rows[:30]] + ["", "one", " ".join(t for _, t, _ in rows[:20])]
+    want = []
+    for text in texts:
+        words, logits = toxicity.words_of(text), []
+        for start in toxicity.window_starts(len(words)):
+            window = words[start : start + toxicity.WINDOW]
+            x = np.zeros((toxicity.WINDOW, 1, toxicity.INPUTS), np.float32)
+            x[: len(window), 0] = net.inputs(window)
+            mask = (np.arange(toxicity.WINDOW) < len(window)).astype(np.float32)[:, None]
+            logits.append(float(toxicity.forward(net.params, *net.gates(x), mask)[0][0]))
+        want.append(1 / (1 + np.exp(-(max(logits) - net.shift))))
+    assert np.allclose(toxicity.Scorer(net).scores(texts), want, atol=1e-5)
+
+
+def test_training_takes_long_texts_and_repeated_rows(spark):
+    rows = [(i, t, "en", "s", 0) for i, t, _ in toxic_corpus(120)]
+    rows += [(1, rows[4][1], "en", "s", 0)] * 3 + [(500, " ".join(["plain"] * 60_000 + ["vile"] * 40), "en", "s", 0)]
+    labels = [(i, y) for i, _, y in toxic_corpus(120)] + [(1, 0), (1, 1), (500, 1)]
+    assert len(toxicity.windows_of(rows[-1][1])) == toxicity.MAX_WINDOWS and toxicity.windows_of(rows[-1][1])[-1].endswith("vile")
+    net = toxicity.fit(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert toxicity.Scorer(net).scores(["w1 vile w2 nasty w3"])[0] > toxicity.Scorer(net).scores(["w1 w2 w3"])[0]
 
 
 def toxic_corpus(n=400):
