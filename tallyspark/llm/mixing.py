@@ -4,8 +4,8 @@ Each source's weight schedule is integrated over training time, which gives its
 its source's stream (streams repeat until the demand is met); the inverse of the demand at this offset is the training position, by which the
 documents are range-sorted.
 
-Scale: documents are only ever joined with per-source and per-bucket sums. Offsets are two-level prefix sums, over hash buckets of a bounded
-number of documents and inside them, so one source may hold any share of the rows. What reaches the driver is a row per source (at most
+Scale: documents are only ever joined with per-source and per-bucket sums. Offsets are prefix sums of three levels: inside hash buckets of a
+bounded number of documents, over a bounded number of buckets, and over those parts, so one source may hold any share of the rows. What reaches the driver is a row per source (at most
 ``MAX_SOURCES``).
 """
 
@@ -17,6 +17,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from .prefix import running
 from .storage import written
 
 MAX_SOURCES = 100_000
@@ -92,7 +93,7 @@ def counted(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     return source.mapInArrow(run, f"{source.drop('__text').schema.simpleString()[7:-1]}, size long")
 
 
-def placed(sizes: DataFrame, weights=cyclic_weights, cap: float = 3.0, seed: int = 7, whole: bool = False) -> DataFrame:
+def placed(sizes: DataFrame, weights=cyclic_weights, cap: float = 3.0, seed: int = 7, whole: bool = False, rows: DataFrame | None = None) -> DataFrame:
     """Where a mix places the documents of ``sizes`` (columns doc_id, source, size, and any others).
 
     ``weights`` gets the list of sources and returns a Schedule for each. The mix has as many words as all documents; a source's target stops at
@@ -101,7 +102,9 @@ def placed(sizes: DataFrame, weights=cyclic_weights, cap: float = 3.0, seed: int
     by whether its middle lies before that end). A document that isn't taken has an empty array.
 
     Null sizes count as 0, such documents and those without words are never placed; a null source is a source of its own; an empty table gives
-    no rows. Repeated rows have offsets of their own. The order in a source is by hash of doc_id, so reruns agree.
+    no rows. Repeated rows have offsets of their own. The order in a source is by hash of doc_id, then by doc_id, size and, where there is one, column
+    ``__key``; rows that are alike in all of these are interchangeable, so reruns agree. ``rows``: the same documents, with more columns, which
+    are placed instead of ``sizes`` (that then only serves the sums, without their columns).
     """
     size = F.coalesce(F.col("size"), F.lit(0))
     totals = {r["source"]: (r["n"], r["words"]) for r in sizes.groupBy("source").agg(F.count("*").alias("n"), F.sum(size).alias("words")).limit(MAX_SOURCES + 1).collect()}
@@ -117,16 +120,19 @@ def placed(sizes: DataFrame, weights=cyclic_weights, cap: float = 3.0, seed: int
         [(s, max(1, -(-n // BUCKET_ROWS)), words[s], targets[s], curves[s]) for s, (n, _) in totals.items()],
         "source string, buckets long, source_size long, target double, curve array<double>",
     )
-    hashed = sizes.withColumn("source", F.col("source").cast("string")).withColumn("size", size).withColumn("__h", F.xxhash64("doc_id", F.lit(seed)))
-    # One row per source, at most MAX_SOURCES rows of STEPS numbers.
-    known = _join_sources(hashed, plan)
-    known = known.withColumn("__bucket", F.pmod(F.shiftrightunsigned("__h", 20), F.col("buckets")))
-    sums = known.groupBy("source", "__bucket").agg(F.sum("size").alias("__sum"))
-    before = W.partitionBy("source").orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
-    base = sums.select(F.col("source").alias("__s"), F.col("__bucket").alias("__b"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
-    inside = W.partitionBy("source", "__bucket").orderBy("__h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+
+    def known(of: DataFrame) -> DataFrame:
+        # One row per source, at most MAX_SOURCES rows of STEPS numbers.
+        hashed = of.withColumns({"source": F.col("source").cast("string"), "size": size, "__h": F.xxhash64("doc_id", F.lit(seed))})
+        return _join_sources(hashed, plan).withColumn("__bucket", F.pmod(F.shiftrightunsigned("__h", 20), F.col("buckets")))
+
+    sums = known(sizes.select("source", "doc_id", "size")).groupBy("source", "__bucket").agg(F.sum("size").alias("__sum"))
+    base = running(sums, ["source"], "__bucket", "__sum").select(F.col("source").alias("__s"), F.col("__bucket").alias("__b"), F.col("before").alias("__base"))
+    base, _ = written(base, "mix-bases")  # so that it is broadcast only if it is small
+    here = known(sizes if rows is None else rows)
+    inside = W.partitionBy("source", "__bucket").orderBy("__h", "doc_id", "size", *[c for c in here.columns if c == "__key"]).rowsBetween(W.unboundedPreceding, -1)
     offsets = (
-        known.withColumn("__in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        here.withColumn("__in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .join(base, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b")))
         .withColumn("__start", F.col("__base") + F.col("__in"))
     )
@@ -171,14 +177,13 @@ def _with_placements(rows: DataFrame, cap: float, whole: bool) -> DataFrame:
 def ordered_mix(docs: DataFrame, weights=cyclic_weights, cap: float = 3.0, seed: int = 7) -> DataFrame:
     """The documents as often as the mix takes them, whole, range-sorted by training position; the columns are those of ``docs``.
 
-    A row is known by doc_id, source and the hash of its text; rows alike in these are each taken as often as the one of them that stands first.
+    Repeated rows each have a place of their own. Documents without words (null or empty texts) are never taken; a null source is a source; columns
+    may have any names; an empty table gives no rows.
     """
     # the documents' columns travel as one, so their names can't clash with any other
     row = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "text", F.xxhash64("text").alias("__key"))
-    sizes, _ = written(counted(row, ["doc_id", "source", "__key"]), "mix-sizes")
-    plan = placed(sizes, weights, cap, seed, whole=True)
-    plan = plan.where(F.size("placements") > 0).groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__s"), F.col("__key").alias("__k")).agg(F.min("placements").alias("__p"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__s")) & (F.col("__key") == F.col("__k"))
-    # the hash table holds keys and a few numbers, not texts, and the texts need no sort
-    out = row.join(plan.hint("shuffle_hash"), same).select("row", F.explode("__p.position").alias("__position"))
+    sizes, _ = written(counted(row, ["doc_id", "source"]), "mix-sizes")
+    rows = row.withColumn("size", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")).drop("text")
+    plan = placed(sizes, weights, cap, seed, whole=True, rows=rows)
+    out = plan.select("row", F.explode("placements.position").alias("__position"))
     return out.repartitionByRange("__position").sortWithinPartitions("__position").select("row.*")

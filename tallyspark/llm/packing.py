@@ -3,8 +3,8 @@
 Best-fit decreasing needs only how many pieces have each length, and the histogram has at most ``capacity`` rows. The plan says for every length
 which ranks go to which sequences at which offset; pieces take their slots by their rank within their length.
 
-Scale: the driver holds the histogram and the plan (both bounded by ``capacity``, however many documents there are). Ranks come from two-level
-prefix counts over hash buckets, so a length that a third of the pieces share is numbered by many tasks.
+Scale: the driver holds the histogram and the plan (both bounded by ``capacity``, however many documents there are). Ranks come from prefix
+counts of three levels over hash buckets, so a length that a third of the pieces share is numbered by many tasks.
 """
 
 from __future__ import annotations
@@ -19,11 +19,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .storage import written
+from .prefix import running
+from .storage import trimmed, written
 
 END_ID = 1
 #: Encoded chunks that a worker keeps; when it has more it starts anew.
-CACHE = 800_000
+CACHE = 400_000
 #: Pieces that a hash bucket holds on average.
 BUCKET_ROWS = 128
 
@@ -100,12 +101,16 @@ def encoder(path: str) -> Encoder:
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, text: str = "text") -> DataFrame:
-    """doc_id, piece, start, length and ids_crc32 of every piece: a document's ids and the end id, cut every ``capacity`` ids."""
+    """doc_id, piece, start, length and ids_crc32 of every piece: a document's ids and the end id, cut every ``capacity`` ids.
+
+    A null or empty text is one piece, the end id; repeated rows each have their pieces, rows with a null doc_id too; an empty table gives none.
+    """
     source = docs.select("doc_id", F.col(text).cast("string").alias("__text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trimmed()
         encode = encoder(tokenizer).encode_all
         for whole in batches:
             for batch in (whole.slice(a, TEXTS) for a in range(0, whole.num_rows, TEXTS)):
@@ -202,8 +207,8 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = 4096, text: str = "t
     # counts and plan are bounded by the capacity, see best_fit_plan
     rows = cut.join(F.broadcast(counts), F.col("length") == F.col("c_length")).withColumn("h", F.xxhash64("doc_id", "piece", F.lit(11)))
     rows = rows.withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 20), F.col("buckets")))
-    before = W.partitionBy("b_length").orderBy("b_bucket").rowsBetween(W.unboundedPreceding, -1)
-    base = rows.groupBy(F.col("length").alias("b_length"), F.col("bucket").alias("b_bucket")).agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    sums = rows.groupBy(F.col("length").alias("b_length"), F.col("bucket").alias("b_bucket")).agg(F.count("*").alias("n"))
+    base, _ = written(running(sums, ["b_length"], "b_bucket", "n").withColumnRenamed("before", "base"), "packing-bases")  # broadcast only if it is small
     inside = W.partitionBy("length", "bucket").orderBy("h", "doc_id", "piece", "ids_crc32")
     ranked = (
         rows.withColumn("in", F.row_number().over(inside) - 1)

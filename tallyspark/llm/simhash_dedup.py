@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import components, spanning
-from .storage import release, remove, written
+from .storage import release, remove, trimmed, written
 
 SEED = 42
 BITS, BLOCKS = 64, 4
@@ -295,6 +295,7 @@ def _similar(docs: DataFrame, reps: DataFrame, links: DataFrame, width: int, sim
                 right.append(ids.take(pa.array(y)))
             if left:
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays(left), pa.concat_arrays(right)], names=["a", "b"])
+        trimmed()
 
     out, _ = written(_block_pairs(blocks, "loose", lists).mapInArrow(compare, f"a {kind}, b {kind}"), "near-links", batch_rows=16)
     remove(spark, at_blocks)
@@ -343,6 +344,7 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, text:
                     right.append(ids.take(pa.array(y)))
             if left:
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays(left), pa.concat_arrays(right)], names=["a", "b"])
+        trimmed()
 
     links = _block_pairs(blocks, "key", {"ids": f"array<{kind}>", "fps": "array<long>"}).mapInArrow(compare, f"a {kind}, b {kind}")
     found = components(_similar(docs, reps, links, width, similarity, text))

@@ -40,6 +40,20 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def trimmed() -> None:
+    """Give memory that a worker no longer uses back to the system: workers live on between stages, beside the JVM of their executor."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 #: Rows of an Arrow batch in steps that are written here: texts may be long, and a worker holds a batch beside its results.
 BATCH_ROWS = 500
 

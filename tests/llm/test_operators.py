@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tallyspark.llm import components, embedding_dedup, license_scan, media, mixing, packing, secret_scan, simhash_dedup, substring_dedup, toxicity, url_filter
+from tallyspark.llm import components, embedding_dedup, license_scan, media, mixing, packing, prefix, secret_scan, simhash_dedup, substring_dedup, toxicity, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 VOCABULARY = [f"w{i}" for i in range(400)]
@@ -507,6 +507,25 @@ def test_windows_cover_everything():
 # --- packing
 
 
+@pytest.mark.parametrize("part", [2, 4096])
+def test_running_sums_over_parts(spark, part, monkeypatch):
+    monkeypatch.setattr(prefix, "PART", part)
+    draw = random.Random(4)
+    rows = [(g, b, draw.randint(0, 9)) for g in ("a", "b", None) for b in range(0, 20) if draw.random() < 0.7]
+    got = {(r["g"], r["b"]): r["before"] for r in prefix.running(spark.createDataFrame(rows, "g string, b long, v long"), ["g"], "b", "v").collect()}
+    assert got == {(g, b): sum(v for h, c, v in rows if h == g and c < b) for g, b, _ in rows}
+
+
+def test_repeated_rows_have_places_of_their_own(spark):
+    docs = [(i % 3, f"one two three {'x ' * (i % 2)}", "en", "s", i) for i in range(40)] + [(100 + i, "four five", "en", "t", 0) for i in range(200)]
+    out = [tuple(r) for r in mixing.ordered_mix(spark.createDataFrame(docs, DOCS)).collect()]
+    plan = mixing.placed(mixing.counted(spark.createDataFrame(docs, DOCS), ["doc_id", "source"]), whole=True).collect()
+    assert Counter(len(x[1].split()) for x in out if x[3] == "s") == Counter(r["size"] for r in plan for _ in r["placements"] if r["source"] == "s")
+    # every one of the forty has its own number, so all are taken equally often, within one
+    taken = Counter(x[4] for x in out if x[3] == "s")
+    assert len(taken) == 40 and max(taken.values()) - min(taken.values()) <= 1
+
+
 def tokenizer_path():
     return pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
 
