@@ -12,6 +12,16 @@ def total(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
 
 
+def bound(x: Column, f) -> Column:
+    """f of x, which is evaluated once: inside a lambda an expression would be evaluated again for each element."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def shares(xs: Column) -> Column:
+    """Each by their total."""
+    return bound(xs, lambda e: bound(total(e), lambda s: F.transform(e, lambda x: x / s)))
+
+
 def candidates(p: Column) -> Column:
     """Without the null slot."""
     return F.slice(p, F.lit(1), F.size(p) - 1)
@@ -23,12 +33,11 @@ def null_of(p: Column) -> Column:
 
 def softmax(z: Column, temperature: Column | float = 1.0) -> Column:
     t = temperature if isinstance(temperature, Column) else F.lit(float(temperature))
-    e = F.transform(z, lambda x: F.exp((x - F.array_max(z)) / t))
-    return F.transform(e, lambda x: x / total(e))
+    return bound(z, lambda zs: bound(F.array_max(zs), lambda top: shares(F.transform(zs, lambda x: F.exp((x - top) / t)))))
 
 
 def log_sum_exp(z: Column) -> Column:
-    return F.array_max(z) + F.ln(F.aggregate(z, F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max(z))))
+    return bound(z, lambda zs: bound(F.array_max(zs), lambda top: top + F.ln(F.aggregate(zs, F.lit(0.0), lambda a, x: a + F.exp(x - top)))))
 
 
 def with_null_offset(z: Column, b: Column | float) -> Column:
@@ -45,8 +54,7 @@ def factored(null_logit: Column, scores: Column, temperature: float = 1.0) -> Co
 
 def over_labels(p: Column) -> Column:
     """Without the null, renormalised; all zero stays all zero."""
-    s = total(candidates(p))
-    return F.transform(candidates(p), lambda x: F.when(s > 0, x / s).otherwise(F.lit(0.0)))
+    return bound(candidates(p), lambda c: bound(total(c), lambda s: F.transform(c, lambda x: F.when(s > 0, x / s).otherwise(F.lit(0.0)))))
 
 
 def argmax(p: Column) -> Column:
@@ -95,8 +103,7 @@ def jsd_maps(p: Column, q: Column) -> Column:
 
 def tempered(p: Column, t: Column | float) -> Column:
     t = t if isinstance(t, Column) else F.lit(float(t))
-    e = F.transform(p, lambda x: F.pow(x, 1.0 / t))
-    return F.transform(e, lambda x: x / total(e))
+    return shares(F.transform(p, lambda x: F.pow(x, 1.0 / t)))
 
 
 def confidence(p: Column) -> Column:

@@ -188,6 +188,20 @@ def shingles(words: Column, n: int) -> Column:
     return F.transform(places, lambda i: F.array_join(F.slice(words, i, n), " "))
 
 
+def shingle_hashes(words: Column, n: int) -> Column:
+    """Distinct runs of n words as structs (gram, check): 64 bits, checked by another 32; no run is built as text."""
+    # array_distinct compares structs with each other, all with all
+    first = lambda xs: F.filter(xs, lambda x, i: (i == 0) | (F.get(xs, i - 1) != x))
+
+    def hashed(w):
+        places = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        runs = F.transform(F.transform(places, lambda i: F.slice(w, i, n)), lambda run: F.struct(F.xxhash64(run).alias("gram"), F.hash(run).alias("check")))
+        return F.get(F.transform(F.array(F.sort_array(runs)), first), F.lit(0))
+
+    # words as a lambda's variable: filters that Spark infers put the whole expression in, and would split the text again for each run
+    return F.get(F.transform(F.array(words), hashed), F.lit(0))
+
+
 def case_text(facts: Column, body: Column) -> Column:
     """Fact lines, then body parts, blank lines between; empty parts are left out."""
     lines = F.array_join(F.filter(facts, lambda x: x != ""), "\n")

@@ -18,7 +18,9 @@ def temperature_grid(rows: DataFrame, by: str, low: float, high: float, steps: i
     The grid is an array inside each row's aggregate, so rows are read once and shuffled as partial sums.
     """
     grid = [math.exp(math.log(low) + i * (math.log(high) - math.log(low)) / (steps - 1)) for i in range(steps)]
-    sums = rows.groupBy(by).agg(F.count("*").alias("rows"), *[F.avg(P.nll(P.softmax(F.col("logits"), t), F.col("target"))).alias(f"t{i}") for i, t in enumerate(grid)])
+    losses = F.transform(F.array(*[F.lit(t) for t in grid]), lambda t: P.nll(P.softmax(F.col("logits"), t), F.col("target")))
+    held = rows.select(by, losses.alias("losses"))
+    sums = held.groupBy(by).agg(F.count("*").alias("rows"), *[F.avg(F.get("losses", F.lit(i))).alias(f"t{i}") for i in range(steps)])
     all_ = F.array(*[F.struct(F.round(f"t{i}", 9).alias("key"), F.lit(i).alias("step"), F.lit(t).alias("t"), F.col(f"t{i}").alias("nll")) for i, t in enumerate(grid)])
     return sums.where(F.col("rows") >= least).select(by, "rows", F.array_min(all_).alias("b")).select(by, "rows", "b.step", "b.t", "b.nll")
 

@@ -63,9 +63,10 @@ def word_array(s: Column) -> Column:
 
 
 def grams(rows: DataFrame, key: str, words: Column, n: int) -> DataFrame:
-    """(key, gram) of the distinct n-grams of each row, as 64-bit hashes checked by a second hash."""
+    """(key, gram, check) of the distinct n-grams of each row, as 64-bit hashes checked by a second hash."""
     held = rows.select(key, words.alias("__w"))  # else every gram would split the text again
-    return held.select(key, F.explode(F.array_distinct(T.shingles(F.col("__w"), n))).alias("g")).select(key, F.xxhash64("g").alias("gram"), F.hash("g").alias("check"))
+    # outer, else Spark would infer a filter on the whole expression and split the text again inside its lambdas
+    return held.select(key, F.inline_outer(T.shingle_hashes(F.col("__w"), n))).where("gram IS NOT NULL")
 
 
 def rare_grams(items: DataFrame, key: str, words: Column, n: int, most: int) -> DataFrame:
@@ -81,32 +82,32 @@ def contaminated(docs: DataFrame, key: str, words: Column, index: DataFrame, n:
 
 
 def shingle_rows(rows: DataFrame, key: str, words: Column, n: int) -> DataFrame:
-    """(key, shingle) of the distinct runs of n words."""
-    held = rows.select(key, words.alias("__w"))
-    return held.select(key, F.explode(F.array_distinct(T.shingles(F.col("__w"), n))).alias("shingle"))
+    """(key, gram, check, n) of the distinct runs of n words, hashed; n is how many the row has."""
+    held = rows.select(key, words.alias("__w")).select(key, T.shingle_hashes(F.col("__w"), n).alias("__g"))
+    # the size beside the array first, else every exploded row would hold the array for it
+    sized = held.select(key, "__g", F.size("__g").alias("n"))
+    return sized.select(key, "n", F.inline_outer("__g")).where("gram IS NOT NULL").select(key, "gram", "check", "n")  # outer: as in grams
 
 
-def jaccard_pairs(left: DataFrame, right: DataFrame, a: str, b: str, least: float, most: int | None = None) -> DataFrame:
-    """(a, b, jaccard) of rows (key, shingle) with a Jaccard similarity of at least ``least``, by an inverted index.
+def jaccard_pairs(left: DataFrame, right: DataFrame, a: str, b: str, least: float) -> DataFrame:
+    """(a, b, jaccard) of rows (key, gram, check, n) with a Jaccard similarity of at least ``least``, by an inverted index.
 
-    A pair above the threshold shares one of the rarest shingles of each side (prefix filter): a side of n shingles needs only its
-    n - ceil(least n) + 1 rarest, so frequent shingles rarely meet; survivors are verified on whole sets.
+    Only grams that both sides have matter, so the left side loses the others before it is shuffled (the right one is the smaller). A pair above
+    the threshold shares one of the right set's n - ceil(least n) + 1 rarest grams (prefix filter; those that the left hasn't come first), so
+    frequent grams rarely make candidates; survivors are verified by their number of common grams. No set travels whole.
     """
-    freq = left.select("shingle").union(right.select("shingle")).groupBy("shingle").agg(F.count("*").alias("df"))
-
-    def prefix(side: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-        sets = side.join(freq, "shingle").groupBy(key).agg(F.array_sort(F.collect_set(F.struct("df", "shingle"))).alias("s"))
-        n = F.size("s")
-        head = F.slice(F.col("s"), F.lit(1), (n - F.ceil(F.lit(least) * n) + 1).cast("int"))
-        whole = sets.select(key, F.transform("s", lambda x: x["shingle"]).alias("whole"))
-        return sets.select(key, F.explode(head).alias("h")).select(key, F.col("h.shingle").alias("shingle")), whole
-
-    (pa, wa), (pb, wb) = prefix(left, a), prefix(right, b)
-    pairs = pa.join(pb, "shingle").select(a, b).distinct()
-    wa, wb = wa.withColumnRenamed("whole", "wa"), wb.withColumnRenamed("whole", "wb")
-    both = F.size(F.array_intersect("wa", "wb"))
-    j = both / (F.size("wa") + F.size("wb") - both)
-    return pairs.join(wa, a).join(wb, b).withColumn("jaccard", j).where(F.col("jaccard") >= least).select(a, b, "jaccard")
+    gram = ["gram", "check"]
+    mine = left.join(right.select(*gram).distinct(), gram, "left_semi")
+    freq = mine.groupBy(*gram).agg(F.count("*").alias("df"))
+    sets = right.join(freq, gram, "left").groupBy(b, "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), *gram))).alias("s"))
+    size = F.col("n")
+    head = F.filter(F.slice(F.col("s"), F.lit(1), (size - F.ceil(F.lit(least) * size) + 1).cast("int")), lambda x: x["df"] > 0)
+    prefix = sets.select(b, F.explode(head).alias("h")).select(b, "h.gram", "h.check")
+    near = (F.col("na") >= F.lit(least) * F.col("nb")) & (F.col("nb") >= F.lit(least) * F.col("na"))
+    sized = prefix.join(right.select(b, F.col("n").alias("nb")).distinct(), b)
+    pairs = mine.withColumnRenamed("n", "na").join(sized, gram).where(near).select(a, b, "na", "nb").distinct()
+    common = mine.select(a, *gram).join(pairs, a).join(right.select(b, *gram), [b, *gram]).groupBy(a, b, "na", "nb").agg(F.count("*").alias("c"))
+    return common.withColumn("jaccard", F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).where(F.col("jaccard") >= least).select(a, b, "jaccard")
 
 
 def char_shingles(s: Column, n: int) -> Column:

@@ -29,15 +29,16 @@ def bm25(questions: DataFrame, chunks: DataFrame, case: str, question: str, chun
 
     Query words count with multiplicity; only chunks with a query word have a row.
     """
-    sizes = chunks.select(case, chunk, F.size("words").alias("dl"))
-    corpus = sizes.groupBy(case).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = chunks.select(case, chunk, F.explode("words").alias("w")).groupBy(case, chunk, "w").agg(F.count("*").alias("tf"))
-    df = tf.groupBy(case, "w").agg(F.count("*").alias("df"))
+    corpus = chunks.groupBy(case).agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avgdl"))
     asked = questions.select(case, question, F.explode("words").alias("w")).groupBy(case, question, "w").agg(F.count("*").alias("q"))
-    hits = asked.join(tf, [case, "w"]).join(df, [case, "w"]).join(sizes, [case, chunk]).join(corpus, case)
+    # words that nobody asks for go before any shuffle; all that follows up to the sum stays where a chunk's words meet
+    words = chunks.select(case, chunk, F.size("words").alias("dl"), F.explode("words").alias("w")).join(asked.select(case, "w").distinct(), [case, "w"], "left_semi")
+    tf = words.repartition(case, chunk).groupBy(case, chunk, "dl", "w").agg(F.count("*").alias("tf"))
+    df = tf.groupBy(case, "w").agg(F.count("*").alias("df"))
     idf = F.ln(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("q") * idf * F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy(case, question, chunk).agg(F.sum(part).alias("score"))
+    weights = asked.join(df, [case, "w"]).join(corpus, case).select(case, "w", question, (F.col("q") * idf).alias("weight"), "avgdl")
+    part = F.col("weight") * F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / F.col("avgdl")))
+    return tf.join(weights, [case, "w"]).groupBy(case, question, chunk).agg(F.sum(part).alias("score"))
 
 
 def top_k(scores: DataFrame, by: list[str], score: str, key: str, k: int) -> DataFrame:
@@ -63,10 +64,13 @@ def position_third(mid: Column, length: Column) -> Column:
 
 def tournament(scores: Column, chunk: int) -> Column:
     """Log-probabilities of a large set: chunks' winners are scored again, log P = log P(chunk) + log P(in chunk)."""
-    n = F.ceil(F.size(scores) / chunk).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda c: F.slice(scores, c * chunk + 1, chunk))
-    winners = F.transform(parts, lambda p: F.array_max(p))
-    return F.flatten(F.transform(parts, lambda p, c: F.transform(p, lambda x: (x - P.log_sum_exp(p)) + (F.get(winners, c) - P.log_sum_exp(winners)))))
+
+    def scored(parts):
+        winners = F.transform(parts, lambda p: F.array_max(p))
+        return P.bound(P.log_sum_exp(winners), lambda all_: F.flatten(F.transform(parts, lambda p: P.bound(F.array_max(p) - all_ - P.log_sum_exp(p), lambda lead: F.transform(p, lambda x: x + lead)))))
+
+    cut = lambda z: F.transform(F.sequence(F.lit(0), F.ceil(F.size(z) / chunk).cast("int") - 1), lambda c: F.slice(z, c * chunk + 1, chunk))
+    return P.bound(scores, lambda z: P.bound(cut(z), scored))
 
 
 def routed(rows: DataFrame, signal: str, keys: list[str], percent: int) -> DataFrame:

@@ -133,7 +133,7 @@ def test_lookup_refuses_repeated_keys(spark):
 
 def test_jaccard_pairs_against_all_pairs(spark):
     sets = {i: {(i * j + j) % 17 for j in range(1 + i % 5)} for i in range(20)}
-    rows = spark.createDataFrame([(i, str(v)) for i, s in sets.items() for v in s], "k int, shingle string")
+    rows = spark.createDataFrame([(i, v, v, len(s)) for i, s in sets.items() for v in s], "k int, gram long, check int, n int")
     got = {(r["a"], r["b"]) for r in joins.jaccard_pairs(rows.withColumnRenamed("k", "a"), rows.withColumnRenamed("k", "b"), "a", "b", 0.5).collect()}
     assert got == {(i, j) for i, x in sets.items() for j, y in sets.items() if len(x & y) / len(x | y) >= 0.5}
 
