@@ -163,13 +163,15 @@ def option_spans(options: Column) -> Column:
     return F.transform(options, lambda o, i: F.aggregate(F.slice(options, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x) + 4))
 
 
-def is_yes_no(options: Column) -> Column:
-    return F.array_sort(F.transform(options, lambda o: F.lower(o))) == F.array(F.lit("no"), F.lit("yes"))
+def is_yes_no(options: Column, qtype: Column | None = None) -> Column:
+    """The options are yes and no, in any case and spacing, or two options of a noul question however they are spelled."""
+    named = F.array_sort(F.array_distinct(F.transform(options, lambda o: F.lower(strip(o))))) == F.array(F.lit("no"), F.lit("yes"))
+    return named if qtype is None else named | (F.coalesce(qtype == "noul", F.lit(False)) & (F.size(options) == 2))
 
 
 def first_yes(options: Column) -> Column:
     """The place of the first literal yes, 0 when there is none."""
-    return F.greatest(F.lit(0).cast("long"), F.array_position(F.transform(options, lambda o: F.lower(o)), "yes") - 1)
+    return F.greatest(F.lit(0).cast("long"), F.array_position(F.transform(options, lambda o: F.lower(strip(o))), "yes") - 1)
 
 
 def question_kind(s: Column) -> Column:

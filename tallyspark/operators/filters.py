@@ -56,13 +56,18 @@ def first_failure(checks: dict[str, Column]) -> Column:
     return out
 
 
-def degenerate_columns(rows: DataFrame, columns: list[str], least: int, share: float) -> list[str]:
-    """Columns with fewer than ``least`` answers, or of which one value has at least ``share``: one pass for all columns."""
+def degenerate_columns(rows: DataFrame, columns: list[str], least: int, share: float, needs: dict[str, str] | None = None) -> list[str]:
+    """Columns with fewer than ``least`` answers (null and empty are none), or of which one value has at least ``share``, or whose prerequisite
+    (``needs``: column to column) went before them. One pass for all columns."""
     entries = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns])
-    counts = rows.select(F.explode(entries).alias("e")).where("e.v IS NOT NULL").groupBy("e.c", "e.v").agg(F.count("*").alias("n"))
+    counts = rows.select(F.explode(entries).alias("e")).where("e.v <> ''").groupBy("e.c", "e.v").agg(F.count("*").alias("n"))
     per = counts.groupBy("c").agg(F.sum("n").alias("n"), F.max("n").alias("top"))
     good = {r["c"] for r in per.where((F.col("n") >= least) & (F.col("top") < share * F.col("n"))).collect()}  # a row for each column
-    return [c for c in columns if c not in good]
+    gone: list[str] = []
+    for c in columns:
+        if c not in good or (needs or {}).get(c) in gone:
+            gone.append(c)
+    return gone
 
 
 def grid_gaps(rows: DataFrame, unit: str, grid: DataFrame, factors: list[str]) -> DataFrame:

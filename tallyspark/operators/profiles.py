@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions import text as T
 
 # The cascade's bounds.
-DATE = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2})?.*)?$"
+DATE = r"^(\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}.*)?|\d{1,2}[/.]\d{1,2}[/.]\d{2,4}( .*)?)$"
 
 
 def unpivoted(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -17,7 +17,8 @@ def unpivoted(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def column_profile(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """A row for each column: rows, non_empty, distinct, median and p95 length, and its kind.
+    """A row for each column: rows, non_empty, empty_rate, distinct, distinct_ratio, median and p95 length, kind, and the share of non-empty cells
+    with personal data of each kind (T.PII).
 
     Cells are counted by distinct value first, so the rest works on distinct values.
     """
@@ -26,16 +27,16 @@ def column_profile(rows: DataFrame, columns: list[str]) -> DataFrame:
     v = F.when(F.col("raw") != "", F.col("raw"))
     counts = counts.withColumns({"value": T.value_norm(v), "length": F.length(v), "words": F.size(F.split(v, r"\s+"))})
     ne = F.when(F.col("raw") != "", F.col("n")).otherwise(0)
-    q = lambda c, x: F.expr(f"percentile_cont({x}) WITHIN GROUP (ORDER BY {c})")
     of = counts.groupBy("column").agg(
         F.sum("n").alias("rows"), F.sum(ne).alias("non_empty"), F.count_distinct("value").alias("distinct"),
         F.sum(F.when(v.rlike(DATE), F.col("n")).otherwise(0)).alias("dates"),
         F.bool_and(F.coalesce(F.regexp_replace(v, ",", "").rlike(T.NUMBER), F.lit(True))).alias("numeric"),
         F.bool_or(F.coalesce(v.contains("."), F.lit(False))).alias("pointed"),
+        *[F.sum(F.when(v.rlike("(?U)" + pattern), F.col("n")).otherwise(0)).alias(f"pii_{name}") for name, pattern in T.PII.items()],
     )
-    lengths = _weighted_median(counts.where("raw <> ''"), "length").withColumnRenamed("m", "median_length")
-    words = _weighted_median(counts.where("raw <> ''"), "words").withColumnRenamed("m", "median_words")
-    out = of.join(lengths, "column", "left").join(words, "column", "left").na.fill(0, ["median_length", "median_words"])
+    lengths = _weighted_median(counts.where("raw <> ''"), "length").withColumnsRenamed({"m": "median_length", "p95": "p95_length"})
+    words = _weighted_median(counts.where("raw <> ''"), "words").select("column", F.col("m").alias("median_words"))
+    out = of.join(lengths, "column", "left").join(words, "column", "left").na.fill(0, ["median_length", "p95_length", "median_words"])
     ratio = F.col("distinct") / F.greatest(F.col("non_empty"), F.lit(1))
     ids = (ratio >= 0.9) & (F.col("non_empty") >= 20)
     kind = (
@@ -45,17 +46,24 @@ def column_profile(rows: DataFrame, columns: list[str]) -> DataFrame:
         .when(ids | ((F.col("median_words") >= 3) & (F.col("distinct") > 50)), "text")
         .when(F.col("numeric") & (F.col("distinct") > 20), "numeric").otherwise("categorical")
     )
-    return out.select("column", "rows", "non_empty", "distinct", "median_length", kind.alias("kind"))
+    of_filled = lambda c: F.round(F.col(c) / F.greatest(F.col("non_empty"), F.lit(1)), 4)
+    empty = F.round(1 - F.col("non_empty") / F.greatest(F.col("rows"), F.lit(1)), 4)
+    return out.select(
+        "column", "rows", "non_empty", empty.alias("empty_rate"), "distinct", of_filled("distinct").alias("distinct_ratio"), "median_length", "p95_length", kind.alias("kind"),
+        *[of_filled(f"pii_{name}").alias(f"pii_{name}") for name in T.PII],
+    )
 
 
 def _weighted_median(counts: DataFrame, value: str) -> DataFrame:
-    """The median of counted values: mean of the two middle ones."""
+    """Of counted values the median (m, mean of the two middle ones) and the one at 95 % of the way (p95, rounded down)."""
     sums = counts.groupBy("column", F.col(value).alias("v")).agg(F.sum("n").alias("n"))
     up = W.partitionBy("column").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
     ranked = sums.withColumn("upto", F.sum("n").over(up)).withColumn("all", F.sum("n").over(W.partitionBy("column")))
     has = lambda k: (F.col("upto") >= k) & (F.col("upto") - F.col("n") < k)
     low, high = F.floor((F.col("all") + 1) / 2), F.floor((F.col("all") + 2) / 2)
-    return ranked.groupBy("column").agg(((F.max(F.when(has(low), F.col("v"))) + F.max(F.when(has(high), F.col("v")))) / 2).alias("m"))
+    late = F.floor(0.95 * (F.col("all") - 1)) + 1
+    at = lambda k: F.max(F.when(has(k), F.col("v")))
+    return ranked.groupBy("column").agg(((at(low) + at(high)) / 2).alias("m"), at(late).alias("p95"))
 
 
 def top_values(rows: DataFrame, column: str, most: int, raws: int = 3) -> DataFrame:

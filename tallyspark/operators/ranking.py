@@ -51,7 +51,7 @@ def dot(a: Column, b: Column) -> Column:
     return P.total(F.zip_with(a, b, lambda x, y: x * y))
 
 
-def truncated_unit(v: Column, dims: int) -> Column:
+def truncated_unit(v: Column, dims: int | Column) -> Column:
     """The first dims components, of unit length; a zero or non-finite vector fails the query."""
     head = F.transform(F.slice(v, 1, dims), lambda x: x.cast("double"))
     length = F.sqrt(P.total(F.transform(head, lambda x: x * x)))

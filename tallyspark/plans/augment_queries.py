@@ -190,6 +190,38 @@ def rule_levels(spark, d):
     )
 
 
+def _u187(tag: str) -> str:
+    return unit_sql(f"'{tag}:' || o_orderkey")
+
+
+_D187 = ", ".join(
+    [f"{_u187(f'met{i}')} < 0.8 AS met{i}" for i in range(3)] + [f"{_u187(t)} < {x} AS {t}" for t, x in (("forbidden", 0.2), ("trigger", 0.2), ("unstated", 0.3), ("vip", 0.15))]
+    + [f"CASE WHEN {_u187(f'none{i}')} < 0.85 THEN {low} + floor({_u187(f'value{i}')} * {n})::INT END AS v{i}, {low} + floor({_u187(f'least{i}')} / 2 * {n})::INT AS l{i}" for i, (low, n) in enumerate(((18, 60), (1000, 5000), (0, 20)))]
+    + [f"floor({_u187(t)} * {n})::INT AS {t}" for t, n in (("impact", 4), ("reach", 4), ("hours", 96), ("said", 5), ("record", 2), ("topic", 4), ("tool", 4), ("colour", 5))] + [f"{_u187(f'field{i}')} < 0.85 AS f{i}" for i in range(4)]
+)
+_C187 = "['red', 'green', 'blue', 'white', 'black']"
+_REQ187 = " || ' ' || ".join(f"'Requirement {i + 1} is ' || CASE WHEN met{i} THEN 'shown.' ELSE 'not shown.' END" for i in range(3)) + " || CASE WHEN forbidden THEN ' A prohibition applies.' ELSE ' No prohibition applies.' END"
+_F187 = [
+    ("permit", _REQ187, "(met0 AND met1 AND met2 AND NOT forbidden)::INT"),
+    ("action", _REQ187 + " || CASE WHEN trigger THEN ' An' ELSE ' No' END || ' escalation trigger applies.'", "CASE WHEN forbidden THEN 1 WHEN trigger THEN 3 WHEN NOT (met0 AND met1 AND met2) THEN 2 ELSE 0 END"),
+    ("eligibility", "concat_ws(' ', " + ", ".join(f"'The {n} must be at least ' || l{i} || '.'" for i, n in enumerate(("age", "monthly income", "years of service"))) + ", " + ", ".join(f"'The {n} is ' || v{i} || '.'" for i, n in enumerate(("age", "monthly income", "years of service"))) + ")", "coalesce(v0 >= l0 AND v1 >= l1 AND v2 >= l2, false)::INT"),
+    ("severity", "'Impact ' || impact || ' of 3, reach ' || reach || ' of 3; severity is their mean, rounded down.'", "floor((impact + reach) / 2)::INT"),
+    ("urgency", "'Due in ' || hours || ' hours; under 4 is critical, under 24 high, under 72 medium.'", "CASE WHEN hours < 4 THEN 3 WHEN hours < 24 THEN 2 WHEN hours < 72 THEN 1 ELSE 0 END"),
+    ("completeness", "'Required: name, address, date of birth, signature. Given: ' || concat_ws(', ', " + ", ".join(f"CASE WHEN f{i} THEN '{n}' END" for i, n in enumerate(("name", "address", "date of birth", "signature"))) + ")", "(f0 AND f1 AND f2 AND f3)::INT"),
+    ("support", f"'Claim: the box is ' || {_C187}[said + 1] || CASE WHEN unstated THEN '' ELSE ' ; record: the box is ' || {_C187}[CASE WHEN record = 0 THEN said ELSE (said + 1) % 5 END + 1] END", "CASE WHEN unstated THEN 2 WHEN record = 0 THEN 0 ELSE 1 END"),
+    ("routing", "'A ' || ['billing', 'technical', 'sales', 'other'][topic + 1] || ' question' || CASE WHEN vip THEN ' from a key account; those go to the priority desk' ELSE '' END", "CASE WHEN vip THEN 4 ELSE topic END"),
+    ("tool", "'Please ' || ['find a page about tides', 'add up three prices', 'book a room on Monday', 'say hello'][tool + 1]", "tool"),
+    ("extract", f"'The ordered colour is ' || {_C187}[colour + 1]", "colour"),
+]
+
+
+@query("o187_workflow_families", f"WITH u AS (SELECT o_orderkey, {_D187} FROM orders) " + " UNION ALL ".join(f"SELECT o_orderkey, '{f}' AS family, {state} AS state, {label} AS label FROM u" for f, state, label in _F187))
+def workflow_families(spark, d):
+    from ..operators.workflows import generated
+
+    return generated(table(spark, d, "orders").select("o_orderkey"), "o_orderkey").select("o_orderkey", "family", "state", "label")
+
+
 @query("o188_mcq_nulls", f"{_W} SELECT row_id, CASE WHEN u < 0.05 THEN list_filter(candidates, lambda x: x <> candidates[label + 1]) ELSE candidates END AS candidates, CASE WHEN u < 0.05 THEN -1 ELSE label END AS label FROM (SELECT *, {unit_sql("'mc:' || row_id")} AS u FROM c WHERE label >= 0) WHERE NOT (u < 0.05 AND k < 3)")
 def mcq_nulls(spark, d):
     u = hashing.unit("mc", F.col("row_id"))

@@ -87,10 +87,23 @@ def license_gate(spark, d):
     return rows.join(F.broadcast(licences.where("commercial")), F.col("l_linestatus") == F.col("status"), "left_semi").select("l_orderkey", "l_linenumber")  # a row for each licence
 
 
-@query("o062_degenerate_columns", "SELECT unnest(['same']) AS column_name")
+_ANSWERS = {
+    "o_orderstatus": ("o_orderstatus", "o_orderstatus"), "o_orderpriority": ("o_orderpriority", "o_orderpriority"), "same": ("'x'", "'x'"), "after_same": ("o_orderstatus", "o_orderstatus"),
+    "lopsided": ("if(o_orderkey % 40 = 0, 'a', 'b')", "CASE WHEN o_orderkey % 40 = 0 THEN 'a' ELSE 'b' END"), "few": ("if(o_orderkey < 20, o_orderstatus, '')", "CASE WHEN o_orderkey < 20 THEN o_orderstatus ELSE '' END"),
+    "after_status": ("o_orderpriority", "o_orderpriority"),
+}
+_NEEDS = {"after_same": "same", "after_status": "o_orderstatus"}
+
+
+@query(
+    "o062_degenerate_columns",
+    "WITH u AS (" + " UNION ALL ".join(f"SELECT '{c}' AS c, {sql} AS v FROM orders" for c, (_, sql) in _ANSWERS.items()) + "), per AS (SELECT c, sum(n) AS n, max(n) AS top FROM (SELECT c, v, count(*) AS n FROM u WHERE v <> '' GROUP BY ALL) GROUP BY c), "
+    "bad AS (SELECT c FROM (SELECT DISTINCT c FROM u) LEFT JOIN per USING (c) WHERE coalesce(n, 0) < 30 OR top >= 0.95 * n), needs(c, dep) AS (VALUES " + ", ".join(f"('{c}', '{dep}')" for c, dep in _NEEDS.items()) + ") "
+    "SELECT c AS column_name FROM bad UNION SELECT needs.c FROM needs JOIN bad ON dep = bad.c",
+)
 def degenerate_columns(spark, d):
-    x = table(spark, d, "orders").withColumn("same", F.lit("x"))
-    return spark.createDataFrame([(c,) for c in X.degenerate_columns(x, ["o_orderstatus", "o_orderpriority", "same"], 30, 0.95)], "column_name string")
+    x = table(spark, d, "orders").selectExpr(*[f"{e} AS {c}" for c, (e, _) in _ANSWERS.items()])
+    return spark.createDataFrame([(c,) for c in X.degenerate_columns(x, list(_ANSWERS), 30, 0.95, _NEEDS)], "column_name string")
 
 
 @query("o063_cascade", f"{_W} SELECT row_id, CASE WHEN list_position(probs, list_max(probs)) = 1 THEN task END AS shown FROM decisions")
@@ -104,7 +117,7 @@ def panel_gaps(spark, d):
     return X.grid_gaps(table(spark, d, "lineitem"), "l_suppkey", grid, ["l_returnflag", "l_linenumber"])
 
 
-@query("o002_valid_rows", r"SELECT doc_id FROM documents WHERE length(regexp_replace(substr(text, 1, 40), '^\s+|\s+$', '', 'g')) >= 3 OR lang IN ('xx') OR lang LIKE '%\_noev' ESCAPE '\'")
+@query("o002_valid_rows", r"SELECT doc_id FROM documents WHERE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 3 OR lang IN ('xx') OR lang LIKE '%\_noev' ESCAPE '\'")
 def valid_rows(spark, d):
     x = table(spark, d, "documents").select("doc_id", F.col("text").alias("state"), F.col("lang").alias("task"))
     return X.blanks_dropped(x, ["xx"]).select("doc_id")

@@ -10,18 +10,33 @@ from .catalog import query, table
 from .fixtures import R
 
 
+_PROFILED = {
+    "o_orderstatus": "o_orderstatus", "o_orderpriority": "o_orderpriority", "o_orderkey": "cast(o_orderkey AS {text})", "o_custkey": "cast(o_custkey AS {text})", "slashed": "concat(1 + o_orderkey % 28, '/7/19', 90 + o_orderkey % 9)",
+    "sparse": "CASE WHEN o_orderkey % 10 = 0 THEN o_orderpriority ELSE ' ' END", "mail": "concat('write to user', o_custkey % 7, '@example.com or call +4912345678', 10 + o_custkey % 80)", "one": "'x'",
+}
+_MAIL, _PHONE = r"[\w.+-]+@[\w-]+(\.[\w-]+)+", r"\+\d{10,15}\b"
+
+
 @query(
     "o116_column_profile",
-    "WITH u AS (SELECT 'o_orderstatus' AS col, o_orderstatus AS raw FROM orders UNION ALL SELECT 'o_orderpriority', o_orderpriority FROM orders UNION ALL SELECT 'o_orderkey', o_orderkey::VARCHAR FROM orders UNION ALL SELECT 'o_custkey', o_custkey::VARCHAR FROM orders) "
-    "SELECT col AS \"column\", count(*) AS rows, count(*) AS non_empty, count(DISTINCT raw) AS \"distinct\", median(length(raw))::DOUBLE AS median_length, CASE WHEN count(DISTINCT raw) / count(*)::DOUBLE >= 0.9 AND count(*) >= 20 THEN 'id-like' WHEN col LIKE '%key' AND count(DISTINCT raw) > 20 THEN 'numeric' ELSE 'categorical' END AS kind FROM u GROUP BY col",
+    "WITH u AS (" + " UNION ALL ".join(f"SELECT '{c}' AS col, trim({e.format(text='VARCHAR')}) AS v FROM orders" for c, e in _PROFILED.items()) + "), a AS (SELECT col, count(*) AS rows, count(*) FILTER (v <> '') AS m, "
+    "count(DISTINCT lower(v)) FILTER (v <> '') AS dist, median(length(v)) FILTER (v <> '') AS med, list_sort(list(length(v)) FILTER (v <> '')) AS lens, median(len(regexp_extract_all(v, '\\S+'))) FILTER (v <> '') AS words, "
+    "bool_and(regexp_full_match(replace(v, ',', ''), '[-+]?\\d+(\\.\\d+)?')) FILTER (v <> '') AS num, bool_or(contains(v, '.')) FILTER (v <> '') AS pointed, "
+    "count(*) FILTER (regexp_full_match(v, '\\d{4}-\\d{2}-\\d{2}([T ]\\d{2}:\\d{2}.*)?|\\d{1,2}[/.]\\d{1,2}[/.]\\d{2,4}( .*)?')) AS dates, "
+    f"count(*) FILTER (regexp_matches(v, '{_MAIL}')) AS mails, count(*) FILTER (regexp_matches(v, '{_PHONE}')) AS phones FROM u GROUP BY col) "
+    "SELECT col AS \"column\", rows, m AS non_empty, round(1 - m / rows::DOUBLE, 4) AS empty_rate, dist AS \"distinct\", round(dist / m::DOUBLE, 4) AS distinct_ratio, med::DOUBLE AS median_length, lens[floor(0.95 * (m - 1))::INT + 1]::INT AS p95_length, "
+    "CASE WHEN dist <= 1 THEN 'constant' WHEN dates >= 0.95 * m THEN 'date' WHEN med > 40 OR words >= 6 THEN 'text' WHEN dist / m::DOUBLE >= 0.9 AND m >= 20 AND words < 3 AND NOT (num AND pointed) THEN 'id-like' "
+    "WHEN dist / m::DOUBLE >= 0.9 AND m >= 20 OR (words >= 3 AND dist > 50) THEN 'text' WHEN num AND dist > 20 THEN 'numeric' ELSE 'categorical' END AS kind, "
+    "round(mails / m::DOUBLE, 4) AS pii_email, 0::DOUBLE AS pii_iban, 0::DOUBLE AS pii_card, round(phones / m::DOUBLE, 4) AS pii_phone FROM a",
 )
 def column_profile(spark, d):
-    return X.column_profile(table(spark, d, "orders"), ["o_orderstatus", "o_orderpriority", "o_orderkey", "o_custkey"])
+    return X.column_profile(table(spark, d, "orders").selectExpr(*[f"{e.format(text='STRING')} AS {c}" for c, e in _PROFILED.items()]), list(_PROFILED))
 
 
-@query("o116_top_values", "SELECT lower(o_orderstatus) AS value, count(*) AS n, [o_orderstatus] AS raws FROM orders GROUP BY o_orderstatus")
+@query("o116_top_values", "SELECT lower(o_orderstatus) AS value, count(*) AS n, [o_orderstatus, lower(o_orderstatus)] AS raws FROM orders GROUP BY o_orderstatus")
 def top_values(spark, d):
-    return X.top_values(table(spark, d, "orders"), "o_orderstatus", 20)
+    spelled = F.when(F.col("o_orderkey") % 5 == 0, F.lower("o_orderstatus")).otherwise(F.col("o_orderstatus"))  # two spellings of each value
+    return X.top_values(table(spark, d, "orders").select(spelled.alias("s")), "s", 20)
 
 
 @query("o117_table_duplicates", r"SELECT trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS key, count(*) AS n FROM conversations GROUP BY ALL HAVING count(*) > 1")

@@ -59,8 +59,9 @@ def evidence_union(spark, d):
 
 
 _NORMED = "list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y))))"
-_CENT = f"""WITH u AS (SELECT vec_id, label, {_NORMED} AS v FROM (SELECT vec_id, label, list_transform(embedding[1:32], lambda x: x::DOUBLE) AS v FROM embeddings)), e AS (SELECT vec_id, label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM u),
+_CENT_OF = """WITH u AS (SELECT vec_id, label, {normed} AS v FROM (SELECT vec_id, label, list_transform(embedding{dims}, lambda x: x::DOUBLE) AS v FROM embeddings)), e AS (SELECT vec_id, label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM u),
 c AS (SELECT label, list(x ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS x FROM e GROUP BY ALL) GROUP BY label), s AS (SELECT vec_id, u.label, c.label AS said, round(list_sum(list_transform(list_zip(v, c), lambda z: z[1] * z[2])) / sqrt(list_sum(list_transform(c, lambda x: x * x))), 9) AS score FROM u, c)"""
+_CENT, _CENT_WHOLE = (_CENT_OF.format(normed=_NORMED, dims=dims) for dims in ("[1:32]", ""))
 
 
 def _centroids(u):
@@ -74,17 +75,17 @@ def truncated_unit(spark, d):
     return v.select("vec_id", F.round(F.get("v", F.lit(0)), 9).alias("first"), F.round(K.dot(F.col("v"), F.col("v")), 9).alias("length"))
 
 
-@query("o138_dense_ranking", f"{_CENT}, r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, said) AS rank FROM s) SELECT vec_id, said, rank FROM r WHERE rank <= 3")
+@query("o138_dense_ranking", f"{_CENT_WHOLE}, r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, said) AS rank FROM s) SELECT vec_id, said, rank FROM r WHERE rank <= 3")
 def dense_ranking(spark, d):
-    u = table(spark, d, "embeddings").select("vec_id", "label", K.truncated_unit(F.col("embedding"), 32).alias("v"))
+    u = table(spark, d, "embeddings").select("vec_id", "label", K.truncated_unit(F.col("embedding"), F.size("embedding")).alias("v"))
     c = _centroids(u).select(F.col("label").alias("said"), "c")
     s = u.join(F.broadcast(c)).withColumn("score", F.round(K.dot(F.col("v"), F.col("c")) / F.sqrt(K.dot(F.col("c"), F.col("c"))), 9))  # a row for each label
     return K.top_k(s, ["vec_id"], "score", "said", 3).select("vec_id", "said", "rank")
 
 
-@query("o140_nearest_label", f"{_CENT}, r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, said) AS rank FROM s) SELECT count(*) AS n, round(avg((said = label)::INT), 6) AS acc FROM r WHERE rank = 1")
+@query("o140_nearest_label", f"{_CENT_WHOLE}, r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, said) AS rank FROM s) SELECT count(*) AS n, round(avg((said = label)::INT), 6) AS acc FROM r WHERE rank = 1")
 def nearest_label(spark, d):
-    u = table(spark, d, "embeddings").select("vec_id", "label", K.truncated_unit(F.col("embedding"), 32).alias("v"))
+    u = table(spark, d, "embeddings").select("vec_id", "label", K.truncated_unit(F.col("embedding"), F.size("embedding")).alias("v"))
     c = _centroids(u).select(F.col("label").alias("said"), "c")
     score = F.round(K.dot(F.col("v"), F.col("c")) / F.sqrt(K.dot(F.col("c"), F.col("c"))), 9)
     best = u.join(F.broadcast(c)).groupBy("vec_id", "label").agg(F.max_by("said", F.struct(score, -F.col("said"))).alias("said"))

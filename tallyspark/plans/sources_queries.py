@@ -120,11 +120,17 @@ def nfkc(spark, d):
     return table(spark, d, "documents").select("doc_id", X.nfkc_casefold("text").alias("tokens"))
 
 
-@query("o033_clean_body", "SELECT conv_id, turn, trim(regexp_replace(substr(text, 1, 100), '[ \\t]+', ' ', 'g'), ' ' || chr(10)) AS body FROM conversations WHERE NOT contains(substr(text, 1, 100), chr(10))")
+@query(
+    "o033_clean_body",
+    r"WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN text || E'\n  > quoted\nown again\nOn Monday X wrote:\nold text' ELSE E'> before\n' || text END AS s FROM conversations), "
+    r"l AS (SELECT conv_id, turn, list_filter(string_split(s, chr(10)), lambda x: NOT starts_with(ltrim(x), '>')) AS l FROM t), "
+    r"c AS (SELECT *, list_position(list_transform(l, lambda x: regexp_matches(trim(x), '(?i)^(-{2,} ?(original message|forwarded).*|on .* wrote:|--|_{5,})\s*$')), true) AS cut FROM l), "
+    r"o AS (SELECT conv_id, turn, array_to_string(CASE WHEN cut > 0 THEN list_slice(l, 1, cut - 1) ELSE l END, chr(10)) AS s FROM c) "
+    r"SELECT conv_id, turn, substr(regexp_replace(regexp_replace(regexp_replace(s, '[ \t]+', ' ', 'g'), E'\n{3,}', E'\n\n', 'g'), '^\s+|\s+$', '', 'g'), 1, 1500) AS body FROM o",
+)
 def clean_body(spark, d):
-    head = F.substring("text", 1, 100)
-    quoted = F.concat(head, F.lit("\n> quoted\nOn Monday X wrote:\nold text"))
-    return table(spark, d, "conversations").where(~F.contains(head, F.lit("\n"))).select("conv_id", "turn", X.clean_body(quoted).alias("body"))
+    quoted = F.when(F.col("turn") % 2 == 0, F.concat("text", F.lit("\n  > quoted\nown again\nOn Monday X wrote:\nold text"))).otherwise(F.concat(F.lit("> before\n"), "text"))
+    return table(spark, d, "conversations").select("conv_id", "turn", X.clean_body(quoted).alias("body"))
 
 
 @query("o038_near_dup_names", "SELECT p_partkey, string_split(p_name, ' ')[1] AS dropped FROM part")
@@ -133,9 +139,16 @@ def near_dup_names(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(F.slice(words, F.lit(1), F.greatest(F.lit(1), F.size(words) - 1)), " ").alias("w"), words.alias("all")).select("p_partkey", F.get(F.split("w", " "), F.lit(0)).alias("dropped"))
 
 
-@query("o040_string_leaves")
+@query(
+    "o040_string_leaves",
+    "SELECT event_id, unnest(['a.type', 'a.list[0]', 'a.list[2].user', 'top']) AS path, unnest([event_type, 'x', 'u' || user_id, 'text of ' || event_id]) AS text FROM events",
+)
 def string_leaves(spark, d):
-    return X.string_leaves(table(spark, d, "events"), "event_id", "props", ["provenance"])
+    nested = F.concat(
+        F.lit('{"a": {"type": "'), "event_type", F.lit('", "list": ["x", '), F.col("user_id").cast("string"), F.lit(', {"user": "u'), F.col("user_id").cast("string"), F.lit('"}]}, "provenance": {"by": "nobody"}, "n": 1, "none": null, "top": "text of '),
+        F.col("event_id").cast("string"), F.lit('"}'),
+    )
+    return X.string_leaves(table(spark, d, "events").select("event_id", nested.alias("props")), "event_id", "props", ["provenance"])
 
 
 @query("o016_batch_decide", f"WITH {DECISIONS_SQL}, z AS (SELECT row_id, k, list_transform(range(0, k + 1), lambda j: 4 * {unit_sql("'serve:' || row_id || ':' || j")}) AS z FROM decisions) SELECT row_id, list_position(z, list_max(z)) - 1 AS pred FROM z")

@@ -214,12 +214,13 @@ def option_lists(spark, d):
 
 @query(
     "o047_yes_no_rows",
-    "SELECT o_orderkey, o_orderstatus <> 'P' AS yes_no, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END::BIGINT AS yes_at FROM orders",
+    "SELECT o_orderkey, o_orderstatus <> 'P' OR o_orderkey % 3 = 0 AS yes_no, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END::BIGINT AS yes_at FROM orders",
 )
 def yes_no_rows(spark, d):
     s = F.col("o_orderstatus")
-    options = F.when(s == "F", F.array(F.lit("No"), F.lit("Yes"))).when(s == "O", F.array(F.lit("yes"), F.lit("no"))).otherwise(F.array(F.lit("a"), F.lit("b")))
-    return table(spark, d, "orders").select("o_orderkey", T.is_yes_no(options).alias("yes_no"), T.first_yes(options).alias("yes_at"))
+    options = F.when(s == "F", F.array(F.lit("No"), F.lit(" Yes "))).when(s == "O", F.array(F.lit("yes"), F.lit("no"))).otherwise(F.array(F.lit("a"), F.lit("b")))
+    qtype = F.when(F.col("o_orderkey") % 3 == 0, "noul").otherwise("choice")
+    return table(spark, d, "orders").select("o_orderkey", T.is_yes_no(options, qtype).alias("yes_no"), T.first_yes(options).alias("yes_at"))
 
 
 @query(
