@@ -288,10 +288,12 @@ def grouped(vectors: DataFrame, cosine: float = 0.9, vector: str = "embedding")
     found = components(links.where(F.col("other").isNotNull()).select(F.col("vec").alias("a"), F.col("other").alias("b")))
     known = reps.select("rep", "copies").join(counts, F.col("rep") == F.col("r"), "left").join(found, F.col("rep") == F.col("vertex"), "left")
     known = known.select("rep", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    # each row finds its class by the vector's value; the join's rows of a hot vector are split by Spark
-    usable = clean_keys(ids)
-    classes = usable.where("usable").groupBy("v").agg(F.min("vec_id").alias("rep"))
-    member = usable.where("usable").join(classes, "v").select(F.col("vec_id"), F.col("rep").alias("c")).join(known, F.col("c") == F.col("rep"), "left")
+    # each row finds its class by its vector's digest: the classes are written, so that they are broadcast while they are small and a hot vector's rows
+    # are split beyond that
+    usable = clean_keys(ids).withColumn("d", F.sha2(F.array_join(F.transform("v", lambda x: (x + F.lit(0.0)).cast("string")), ",").cast("binary"), 256))
+    classes = usable.where("usable").groupBy(F.col("d").alias("k")).agg(F.min("vec_id").alias("c"))
+    classes, _ = written(classes.join(known, F.col("c") == F.col("rep"), "left").select("k", "n_links", "component_id"), "ego-classes")
+    member = usable.where("usable").join(classes, F.col("d") == F.col("k"))
     member = member.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     alone = usable.where("NOT usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast(kind).alias("component_id"))
     return member.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -147,13 +147,15 @@ def scan_text(raw: bytes, machine: ahocorasick.Automaton) -> tuple:
     line = f" {b' '.join(words).decode('utf-8', 'replace')} " if words else ""
     for end, (back, kinds) in machine.iter(line):
         start = end - back
-        seen += line.count(" ", at, start)
-        at = start
+        if start >= at:
+            seen, at = seen + line.count(" ", at, start), start
+        # a longer phrase that began earlier may end later
+        place = seen if start == at else seen - line.count(" ", start, at)
         for kind, label in kinds:
             if kind == "base":
                 n_base += 1
-                first = seen if first is None else min(first, seen)
-                last = seen if last is None else max(last, seen)
+                first = place if first is None else min(first, place)
+                last = place if last is None else max(last, place)
                 base.add(label)
             elif kind == "notice":
                 labels.add(label)
