@@ -23,8 +23,8 @@ from .prefix import running
 from .storage import trimmed, written
 
 END_ID = 1
-#: Encoded chunks that a worker keeps; when it has more it starts anew.
-CACHE = 400_000
+#: Encoded chunks that a worker keeps (about 200 bytes each); when it has more it starts anew.
+CACHE = 800_000
 #: Pieces that a hash bucket holds on average.
 BUCKET_ROWS = 128
 
@@ -45,9 +45,10 @@ class Encoder:
     #: ASCII and Latin-1 letters (which composition leaves alone and any lower-casing treats alike), then ASCII marks other than the apostrophe.
     PARTS = re.compile("^([A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)$", re.MULTILINE)
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer, pre_tokenizers
 
+        self.cache = cache
         self.tokenizer = Tokenizer.from_file(path)
         # the same model for lower-case words between single blanks, which need no other preparation
         self.plain = Tokenizer.from_file(path)
@@ -77,7 +78,7 @@ class Encoder:
         """One after the other; new chunks of all the texts are encoded first."""
         parted = [t.replace("\n", " ").split(" ") for t in texts]
         new = set().union(*parted)
-        if len(self.known) + len(new) > CACHE:
+        if len(self.known) + len(new) > self.cache:
             self.known = {"": b""}
         new -= self.known.keys()
         get = self.known.__getitem__
@@ -93,14 +94,15 @@ class Encoder:
             yield b"".join(map(get, chunks))
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache: int = CACHE) -> Encoder:
     """The worker's encoder, kept between batches and tasks."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].cache = cache
     return _encoders[path]
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int, text: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int, text: str = "text", cache: int = CACHE) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every piece: a document's ids and the end id, cut every ``capacity`` ids.
 
     A null or empty text is one piece, the end id; repeated rows each have their pieces, rows with a null doc_id too; an empty table gives none.
@@ -111,7 +113,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, text: str = "text") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trimmed()
-        encode = encoder(tokenizer).encode_all
+        encode = encoder(tokenizer, cache).encode_all
         for whole in batches:
             for batch in (whole.slice(a, TEXTS) for a in range(0, whole.num_rows, TEXTS)):
                 gc.disable()  # the many small objects have no cycles
@@ -192,14 +194,14 @@ def best_fit_plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, i
     return plan
 
 
-def packed(docs: DataFrame, tokenizer: str, capacity: int = 4096, text: str = "text") -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, capacity: int = 4096, text: str = "text", cache: int = CACHE) -> DataFrame:
     """Every piece of every document with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null or empty text is the end id alone. Repeated rows are packed as often as they occur; other columns don't matter; an empty table gives
-    no rows. Numbering is by a hash of doc_id and then by all columns, so a task that runs again finds the same places.
+    no rows. ``cache``: chunks that a worker keeps, for less memory or less time; results don't depend on it. Numbering is by a hash of doc_id and then by all columns, so a task that runs again finds the same places.
     """
     spark = docs.sparkSession
-    cut, _ = written(pieces(docs, tokenizer, capacity, text), "pieces")
+    cut, _ = written(pieces(docs, tokenizer, capacity, text, cache), "pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     schema = "p_length long, p_lo long, p_hi long, p_first long, p_each long, p_offset long"
     plan = spark.createDataFrame(best_fit_plan(histogram, capacity), schema)
