@@ -78,9 +78,11 @@ class Encoder:
         """One after the other; new chunks of all the texts are encoded first."""
         parted = [t.replace("\n", " ").split(" ") for t in texts]
         new = set().union(*parted)
+        new -= self.known.keys()
         if len(self.known) + len(new) > self.cache:
             self.known = {"": b""}
-        new -= self.known.keys()
+            new = set().union(*parted)
+            new.discard("")
         get = self.known.__getitem__
         pairs = self.PARTS.findall("\n".join(new))
         lower = [w.lower() for w, _ in pairs]
