@@ -77,8 +77,8 @@ class Encoder:
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
         """One after the other; new chunks of all the texts are encoded first."""
         parted = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*parted)
-        new -= self.known.keys()
+        # difference() of a dictionary looks the few up in the many; the minus of its keys would go through all of them
+        new = set().union(*parted).difference(self.known)
         if len(self.known) + len(new) > self.cache:
             self.known = {"": b""}
             new = set().union(*parted)
@@ -86,11 +86,11 @@ class Encoder:
         get = self.known.__getitem__
         pairs = self.PARTS.findall("\n".join(new))
         lower = [w.lower() for w, _ in pairs]
-        words = list(set(lower) - self.known.keys())
+        words = list(set(lower).difference(self.known))
         self.known.update(zip(words, self._words(words)))
         behind = {m: self._ids(m) for m in {m for _, m in pairs}}
         self.known.update(zip([w + m for w, m in pairs], [get(x) + behind[m] for x, (_, m) in zip(lower, pairs)]))
-        new -= self.known.keys()
+        new = new.difference(self.known)
         self.known.update([(c, self._ids(c)) for c in new])
         for chunks in parted:
             yield b"".join(map(get, chunks))
