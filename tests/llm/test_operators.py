@@ -496,6 +496,7 @@ def test_toxicity_on_held_out_documents(spark, empty):
     assert toxicity.scored(empty, net).count() == 0
     one = toxicity.fit(docs, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"))
     assert {r["toxicity"] for r in toxicity.scored(docs, one).collect()} == {0.5}
+    assert toxicity.accepted(docs, one).count() == docs.count()
 
 
 def test_windows_cover_everything():
