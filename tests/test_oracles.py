@@ -52,4 +52,4 @@ def test_query_agrees_with_its_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_query_without_sql_runs(spark, name):
     df = catalog.QUERIES[name](spark, SF)
-    assert df.columns and df.count() >= 0
+    assert df.columns and df.count() > 0
