@@ -31,9 +31,9 @@ def bm25(questions: DataFrame, chunks: DataFrame, case: str, question: str, chun
     """
     corpus = chunks.groupBy(case).agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avgdl"))
     asked = questions.select(case, question, F.explode("words").alias("w")).groupBy(case, question, "w").agg(F.count("*").alias("q"))
-    # words that nobody asks for go before any shuffle; all that follows up to the sum stays where a chunk's words meet
-    words = chunks.select(case, chunk, F.size("words").alias("dl"), F.explode("words").alias("w")).join(asked.select(case, "w").distinct(), [case, "w"], "left_semi")
-    tf = words.repartition(case, chunk).groupBy(case, chunk, "dl", "w").agg(F.count("*").alias("tf"))
+    # chunks are dealt once, whole; words are counted inside their row, and all that follows up to the sum stays there
+    counted = chunks.repartition(case, chunk).select(case, chunk, F.size("words").alias("dl"), P.bound(F.sort_array("words"), _runs).alias("found"))
+    tf = counted.select(case, chunk, "dl", F.inline_outer("found")).join(asked.select(case, "w").distinct(), [case, "w"], "left_semi")
     df = tf.groupBy(case, "w").agg(F.count("*").alias("df"))
     idf = F.ln(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = asked.join(df, [case, "w"]).join(corpus, case).select(case, "w", question, (F.col("q") * idf).alias("weight"), "avgdl")
@@ -41,6 +41,13 @@ def bm25(questions: DataFrame, chunks: DataFrame, case: str, question: str, chun
     return tf.join(weights, [case, "w"]).groupBy(case, question, chunk).agg(F.sum(part).alias("score"))
 
 
+def _runs(ws: Column) -> Column:
+    """Of sorted words each distinct one and how often it occurs: (w, tf)."""
+    places = F.when(F.size(ws) > 0, F.sequence(F.lit(0), F.size(ws) - 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(places, lambda i: (i == 0) | (F.get(ws, i - 1) != F.get(ws, i)))
+    return P.bound(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(ws, i).alias("w"), (F.coalesce(F.get(at, k + 1), F.size(ws)) - i).alias("tf"))))
+
+
 def top_k(scores: DataFrame, by: list[str], score: str, key: str, k: int) -> DataFrame:
     """The k best of each group with their rank (ties by key)."""
     w = W.partitionBy(*by).orderBy(F.desc(score), key)
