@@ -280,6 +280,40 @@ def test_substring_dedup_of_repetitive_words(spark, empty):
     assert substring_dedup.deduplicated(empty, 8).count() == 0
 
 
+def test_nonbranching_paths_are_compacted(spark):
+    """A passage that documents share becomes one path from its first word to its last, a fork ends it, and repeated rows and forks change no result."""
+    passage = [f"p{i}" for i in range(400)]
+    rows = [(i, " ".join([f"a{i}-{k}" for k in range(30)] + passage + [f"z{i}-{k}" for k in range(30)]), "en", "s", 0) for i in range(5)]
+    rows += [(2, rows[2][1], "en", "s", 0), (7, " ".join(passage[:200] + [f"q{k}" for k in range(90)]), "en", "s", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    spans = substring_dedup.repeats(df, 50).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*").distinct().collect()
+    assert all(r["source"] is not None for r in spans if r["stop"] - r["start"] > 50)
+    of = {i: sorted((r["start"], r["stop"]) for r in spans if r["doc_id"] == i) for i in range(8)}
+    longest = {i: max((b - a for a, b in of[i]), default=0) for i in of}
+    assert not of[0] and of[1] == of[4] and min(longest[i] for i in (1, 2, 3, 4, 7)) > 120  # a single bucket's path is shorter than 93 words
+    got = substring_dedup.deduplicated(df, 50, keep=["doc_id"]).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got) == brute_substring(rows, 50)
+
+
+def test_a_span_that_differs_from_its_source_stays(spark, monkeypatch):
+    """Digests of all paths made equal by force: words are compared at the source, so nothing unequal goes."""
+    draw = random.Random(9)
+    rows = [(i, " ".join(f"w{draw.randint(0, 9)}" for _ in range(8)), "en", "s", 0) for i in range(30)]
+
+    def blind(raws, window, anchor, words):
+        import numpy as np
+
+        k, zero = np.arange(len(raws)), np.zeros(len(raws), dtype=np.int64)
+        return k, zero, zero + 1, zero, zero, zero
+
+    monkeypatch.setattr(substring_dedup, "paths_of", blind)
+    got = substring_dedup.deduplicated(spark.createDataFrame(rows, DOCS), 8, keep=["doc_id"]).collect()
+    texts = {}
+    for i, t, *_ in rows:
+        texts.setdefault(t, i)
+    assert all(r["n_removed"] == 0 or texts[rows[r["doc_id"]][1]] < r["doc_id"] for r in got)
+
+
 # --- SimHash
 
 
