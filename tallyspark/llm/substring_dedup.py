@@ -250,16 +250,17 @@ def repeats(docs: DataFrame, window: int = 50, anchor: int = ANCHOR, text: str =
     single = digests.where("j >= 0")
     earliest = single.groupBy(F.col("w").alias("v")).agg(F.min("m").alias("least"), F.max("m").alias("most")).where("least < most").select("v", "least")
     later = single.join(earliest, F.col("w") == F.col("v")).where("m > least")
-    later = later.groupBy(F.col("d1").alias("e1"), F.col("d2").alias("e2")).agg(F.collect_set("j").alias("js"))  # at most window - anchor + 1 places
+    # both are written, so that Spark knows their size before it deals the frequent side by digest, and splits that side where it must
+    later, at_later = written(later.groupBy(F.col("d1").alias("e1"), F.col("d2").alias("e2")).agg(F.collect_set("j").alias("js")), "later-windows")  # at most window - anchor + 1 places
+    source, at_source = written(digests.where("j = -1").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("w").alias("source")), "sources")
     part = first.join(later, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2"))).select(
         "doc_id", "key", F.explode(F.transform("js", lambda j: F.struct((F.col("a") + j).alias("start"), (F.col("a") + j + window).alias("stop"), F.lit(None).cast("binary").alias("source")))).alias("span")
     )
-    source = digests.where("j = -1").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("w").alias("source"))
     whole = long.where("doc_id > m").join(source, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")))
     whole = whole.select("doc_id", "key", F.struct(F.col("a").alias("start"), (F.col("a") + F.col("n") + (window - 1)).alias("stop"), "source").alias("span"))
     spans, _ = written(whole.union(part).groupBy("doc_id", "key").agg(F.collect_list("span").alias("spans")), "spans")
     del first, later, part, whole, single, digests, source, found, long, earliest
-    remove(spark, at_found, at_after, at_long, at_digests)
+    remove(spark, at_found, at_after, at_long, at_digests, at_later, at_source)
     release(spark)
     return spans
 
