@@ -2,11 +2,11 @@
 
 An archive is a tar file of PNG images (8-bit grey, ``WIDTH`` samples a row). Behind the tar's own end stands an index of fixed-width
 records (place and length of each member's body) and a footer, so a byte range's members are found without reading those before it. The
-source plans ranges from file sizes alone; a task looks up its slice of the index, streams the members in Arrow batches, and reads
-each member again by its offset, on its own, when a read fails.
+source plans ranges from file sizes alone; a task opens its archive once, looks up its slice of the index, and streams the members in Arrow batches,
+one read for a run of neighbouring members. What such a read doesn't give whole is read again member by member, each by its offset and on its own.
 
 Scale: writing is a map over documents, one archive for each task, renamed into place when whole (a task that runs again replaces its own archive
-and no other). Planning lists files, not members. A task holds one batch of members. Paths go through pyarrow's file systems
+and no other). Planning lists files, not members. A task holds one run of members and its batch. Paths go through pyarrow's file systems
 (local, hdfs, s3, ..), never through a machine-local folder.
 """
 
@@ -34,6 +34,8 @@ PAD = b" "
 SUFFIX = ".media"
 #: Bytes of archive for a partition, members for an Arrow batch, and bodies' bytes for one.
 RANGE_BYTES, BATCH_MEMBERS, BATCH_BYTES = 16 << 20, 512, 8 << 20
+#: Records of the index that one probe reads.
+INDEX_RECORDS = 4096
 ATTEMPTS = 4
 
 _PNG = b"\x89PNG\r\n\x1a\n"
@@ -179,7 +181,7 @@ class ArchiveReader(DataSourceReader):
         for k in range(self.attempts):
             try:
                 return what(*args)
-            except (OSError, EOFError, ValueError):
+            except (OSError, EOFError, ValueError, tarfile.TarError, zlib.error, struct.error):
                 if k + 1 == self.attempts:
                     raise
                 time.sleep(0.05 * 2**k)
@@ -189,14 +191,38 @@ class ArchiveReader(DataSourceReader):
         if not partition.path:
             return
         files, _ = _file_system(self.folder)
+        opened = []
 
         def bytes_at(offset: int, n: int) -> bytes:
-            with files.open_input_file(partition.path) as source:
-                found = source.read_at(n, offset)
-            if len(found) != n:
-                raise EOFError(f"{len(found)} of {n} bytes at {offset}")
+            if not opened:
+                opened.append(files.open_input_file(partition.path))
+            try:
+                found = opened[0].read_at(n, offset)
+                if len(found) != n:
+                    raise EOFError(f"{len(found)} of {n} bytes at {offset}")
+            except (OSError, EOFError):
+                opened.pop().close()  # the next read opens the archive anew
+                raise
             return found
 
+        try:
+            rows, held = [], 0
+            for run in self._runs(partition, bytes_at):
+                for row in self._members(partition, run, bytes_at):
+                    rows.append(row)
+                    held += len(row[3] or b"")
+                    if len(rows) >= BATCH_MEMBERS or held >= BATCH_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                        rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        finally:
+            for source in opened:
+                source.close()
+
+    def _runs(self, partition: ArchiveRange, bytes_at) -> Iterator[list[tuple[int, int]]]:
+        """(place, length) of the bodies that start in the range, in runs of neighbours of at most a batch's bytes (or one longer body)."""
+
         def footer() -> tuple[int, int]:
             start, n, magic = _FOOTER.unpack(bytes_at(partition.size - _FOOTER.size, _FOOTER.size))
             if magic != _MAGIC:
@@ -205,46 +231,65 @@ class ArchiveReader(DataSourceReader):
 
         start, n = self._again(footer)
 
-        def first_from(place: int) -> int:
-            """Of the index, the first member whose body starts at or behind the place."""
-            low, high = 0, n
-            while low < high:
-                mid = (low + high) // 2
-                if _RECORD.unpack(self._again(bytes_at, start + mid * _RECORD.size, _RECORD.size))[0] < place:
-                    low = mid + 1
-                else:
-                    high = mid
-            return low
-
-        a, b = first_from(partition.start), first_from(partition.stop)
-        if a == b:
-            return
-        records = self._again(bytes_at, start + a * _RECORD.size, (b - a) * _RECORD.size)
-
-        def member(offset: int, size: int) -> tuple[str, bytes]:
-            """Its name and body; the header is the 512 bytes before the body, with a longer name in the blocks before those."""
-            head = bytes_at(offset - 512, 512 + size)
+        def records(low: int, high: int) -> list[tuple[int, int]]:
+            return list(_RECORD.iter_unpack(self._again(bytes_at, start + low * _RECORD.size, (high - low) * _RECORD.size))) if low < high else []
+
+        low, high = 0, n
+        while high - low > INDEX_RECORDS:  # the first member at or behind the range's start lies in [low, high]
+            mid = (low + high) // 2
+            if records(mid, mid + 1)[0][0] < partition.start:
+                low = mid + 1
+            else:
+                high = mid
+        run, end = [], False
+        while low < n and not end:
+            for offset, size in records(low, min(low + INDEX_RECORDS, n)):
+                if offset >= partition.stop:
+                    end = True
+                    break
+                if offset < partition.start:
+                    continue
+                if run and (len(run) >= BATCH_MEMBERS or offset + size - run[0][0] > BATCH_BYTES):
+                    yield run
+                    run = []
+                run.append((offset, size))
+            low += INDEX_RECORDS
+        if run:
+            yield run
+
+    def _members(self, partition: ArchiveRange, run: list[tuple[int, int]], bytes_at) -> Iterator[tuple]:
+        """A row for each member of the run, read at once; what that read doesn't give whole is read by itself."""
+        failures = (OSError, EOFError, ValueError, tarfile.TarError, zlib.error, struct.error)
+
+        def checked(head: bytes, offset: int, size: int) -> tuple[str, bytes]:
+            """Name and body of a member; the header is the 512 bytes before the body, with a longer name in the blocks before those."""
             info = tarfile.TarInfo.frombuf(head[:512], "utf-8", "surrogateescape")
             if info.size != size:
                 raise ValueError(f"the member at {offset} has {info.size} bytes, not {size}")
             decode_png(head[512:])  # a damaged body fails here and is read again
             return info.name, head[512:]
 
-        rows, held = [], 0
-        for offset, size in _RECORD.iter_unpack(records):
+        def alone(offset: int, size: int) -> tuple[str, bytes]:
+            return checked(bytes_at(offset - 512, 512 + size), offset, size)
+
+        first = run[0][0] - 512
+        try:
+            whole = memoryview(bytes_at(first, run[-1][0] + run[-1][1] - first))
+        except failures:
+            whole = None
+        for offset, size in run:
             try:
-                name, body = self._again(member, offset, size)
-                rows.append((name, partition.path, offset, body, None))
-                held += len(body)
-            except (OSError, EOFError, ValueError, tarfile.TarError) as error:
+                try:
+                    if whole is None:
+                        raise EOFError("the run wasn't read")
+                    name, body = checked(bytes(whole[offset - 512 - first : offset + size - first]), offset, size)
+                except failures:
+                    name, body = self._again(alone, offset, size)
+                yield name, partition.path, offset, body, None
+            except failures as error:
                 if self.on_error != "record":
                     raise
-                rows.append((None, partition.path, offset, None, str(error)))
-            if len(rows) >= BATCH_MEMBERS or held >= BATCH_BYTES:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-                rows, held = [], 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                yield None, partition.path, offset, None, str(error)
 
 
 class ArchiveSource(DataSource):

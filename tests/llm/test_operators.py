@@ -238,6 +238,47 @@ def test_media_round_trip(spark, docs, empty, tmp_path):
         media.read_archives(spark, f"file://{tmp_path}", attempts="1").collect()
 
 
+def test_runs_of_members_are_read_at_once_and_failures_alone(tmp_path, monkeypatch):
+    archive = media.Archive(f"file://{tmp_path}", "part-0")
+    bodies = [media.encode_png(bytes([i]) * 192 * (1 + i % 3)) for i in range(200)]
+    for i, body in enumerate(bodies):
+        archive.add(f"m{i}", body)
+    archive.close()
+    monkeypatch.setattr(media, "INDEX_RECORDS", 16)
+    files, reads = media._file_system(f"file://{tmp_path}")[0], []
+
+    class Source:
+        def __init__(self, path):
+            self.source = files.open_input_file(path)
+            reads.append("open")
+
+        def read_at(self, n, offset):
+            reads.append(n)
+            if fails and n > 5000:
+                raise OSError("lost")
+            return self.source.read_at(n, offset)
+
+        def close(self):
+            self.source.close()
+
+    class Files:
+        def open_input_file(self, path):
+            return Source(path)
+
+        def __getattr__(self, name):
+            return getattr(files, name)
+
+    monkeypatch.setattr(media, "_file_system", lambda path: (Files(), path.removeprefix("file://")))
+    for fails, most in ((False, 1), (True, 4)):
+        for step in (1 << 30, 30_000):
+            reads.clear()
+            reader = media.ArchiveReader(f"file://{tmp_path}", step, 2, "fail")
+            parts = reader.partitions()
+            got = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+            assert [(r["member"], r["media"]) for r in got] == [(f"m{i}", b) for i, b in enumerate(bodies)]
+            assert reads.count("open") <= most * len(parts) and (fails or len(reads) < len(bodies))
+
+
 def test_png_refuses_other_images():
     body = media.encode_png(b" " * 192)
     assert media.decode_png(body) == b" " * 192
