@@ -33,7 +33,7 @@ def csv_scan(spark, d):
     path = X.scratch(spark, "csv")
     c = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("  "), "c_name").alias(" c_name "), "c_mktsegment")
     c.write.option("header", True).option("ignoreLeadingWhiteSpace", False).csv(path)
-    return X.read_records_csv(spark, path)
+    return X.read_records_csv(spark, path, order=F.col("c_custkey"))
 
 
 @query("o006_dispatched_sample", "SELECT p_partkey::VARCHAR AS p_partkey, p_brand FROM part ORDER BY sha256('sample:' || p_partkey) LIMIT 50")

@@ -207,3 +207,10 @@ def test_sharing_pairs_agree_with_brute_force(spark):
     rows = [(i, None if i > 44 else "s" if i % 3 else "t", [options[i % 4], options[i // 4 % 4]]) for i in range(48)]
     got = sorted(map(tuple, joins.sharing_pairs(spark.createDataFrame(rows, "k long, s string, o array<string>"), "k", "s", "o").collect()))
     assert got == [(a, b) for a, s, x in rows for b, t, y in rows if a < b and s is not None and s == t and (set(x) & set(y)) - {None}]
+
+
+def test_csv_rows_are_the_first_ones(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("k, v \n" + "".join(f"{k},{'x' * (k % 9)}\n" for k in range(9, 0, -1)))
+    (tmp_path / "b.csv").write_text("k, v \n" + "".join(f"{k},{'x' * 5000}\n" for k in range(20, 9, -1)))  # larger, so read before
+    assert [r["k"] for r in files.read_records_csv(spark, str(tmp_path), 12).collect()] == [*map(str, range(9, 0, -1)), "20", "19", "18"]
+    assert [r["k"] for r in files.read_records_csv(spark, str(tmp_path), 11, F.col("k").cast("long")).collect()] == [*map(str, range(1, 12))]
