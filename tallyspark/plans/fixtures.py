@@ -28,8 +28,11 @@ d2 AS (SELECT *, list_transform(logits, lambda x: exp(x - list_max(logits))) AS
 d3 AS (SELECT * EXCLUDE (e), list_transform(e, lambda x: x / list_sum(e)) AS probs, CASE WHEN coalesce(label, 0) = -1 THEN k ELSE coalesce(label, 0) END AS gold_at FROM d2),
 decisions AS (SELECT *, list_transform(range(0, k + 1), lambda i: CASE WHEN i = gold_at THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS target FROM d3)"""
 
-R = lambda c, n=6: F.round(c, n)
+
+def R(c, n: int = 6):
+    """Rounded as by DuckDB, whose scaled value decides: a value just below a half goes down, though its shortest decimal may end in 5 (0.5000005)."""
+    return F.round((F.col(c) if isinstance(c, str) else c).cast("double") * 10.0**n) / 10.0**n
 
 
 def rounded(xs, n: int = 6):
-    return F.transform(xs, lambda x: F.round(x, n))
+    return F.transform(xs, lambda x: R(x, n))

@@ -214,3 +214,12 @@ def test_csv_rows_are_the_first_ones(spark, tmp_path):
     (tmp_path / "b.csv").write_text("k, v \n" + "".join(f"{k},{'x' * 5000}\n" for k in range(20, 9, -1)))  # larger, so read before
     assert [r["k"] for r in files.read_records_csv(spark, str(tmp_path), 12).collect()] == [*map(str, range(9, 0, -1)), "20", "19", "18"]
     assert [r["k"] for r in files.read_records_csv(spark, str(tmp_path), 11, F.col("k").cast("long")).collect()] == [*map(str, range(1, 12))]
+
+
+def test_values_just_below_a_half_go_down(spark):
+    from tallyspark.plans import catalog  # noqa: F401  (before its fixtures, which import it)
+    from tallyspark.plans.fixtures import R, rounded
+
+    assert 0.5000005 * 1e6 < 500000.5
+    assert one(spark, R(F.lit(0.5000005))) == 0.5 and one(spark, R(F.lit(-2.5), 0)) == -3.0 and one(spark, R(F.lit(None).cast("double"))) is None
+    assert one(spark, rounded(arr(0.5000005, 0.25))) == [0.5, 0.25]
