@@ -31,7 +31,7 @@ def k_null_scheme(spark, d):
 def null_synth(spark, d):
     kept = F.filter(F.transform(P.candidates(F.col("probs")), lambda x, i: F.when(i != F.col("label"), x)), lambda x: x.isNotNull())
     x = decisions(spark, d).where("label >= 0 AND k > 2").withColumn("kept", kept)
-    return x.select("row_id", F.transform("kept", lambda v: F.round(v / P.total(F.col("kept")), 6)).alias("target"))
+    return x.select("row_id", rounded(P.shares(F.col("kept"))).alias("target"))
 
 
 @query("o169_siblings", "WITH t AS (SELECT DISTINCT p_type, unnest(string_split(lower(p_type), ' ')) AS w FROM part) SELECT DISTINCT a.p_type AS a, b.p_type AS b FROM t a JOIN t b ON a.w = b.w AND a.p_type <> b.p_type")
