@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import hashing, probs as P
+from ..sources.files import stored
 from .prefix import running, totals
 
 
@@ -30,13 +31,15 @@ def bm25(questions: DataFrame, chunks: DataFrame, case: str, question: str, chun
     Query words count with multiplicity; only chunks with a query word have a row.
     """
     corpus = chunks.groupBy(case).agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avgdl"))
-    asked = questions.select(case, question, F.explode("words").alias("w")).groupBy(case, question, "w").agg(F.count("*").alias("q"))
+    # what the questions ask is written, so that Spark knows its size: it is broadcast while it is small, and then no posting is shuffled by its word
+    asked = stored(questions.select(case, question, F.explode("words").alias("w")).groupBy(case, question, "w").agg(F.count("*").alias("q")), "asked")
+    words = stored(asked.select(case, "w").distinct(), "asked-words")
+    df = chunks.select(case, F.explode(F.array_distinct("words")).alias("w")).join(words, [case, "w"], "left_semi").groupBy(case, "w").agg(F.count("*").alias("df"))
+    idf = F.ln(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = stored(asked.join(df, [case, "w"]).join(corpus, case).select(case, "w", question, (F.col("q") * idf).alias("weight"), "avgdl"), "weights")
     # chunks are dealt once, whole; words are counted inside their row, and all that follows up to the sum stays there
     counted = chunks.repartition(case, chunk).select(case, chunk, F.size("words").alias("dl"), P.bound(F.sort_array("words"), _runs).alias("found"))
-    tf = counted.select(case, chunk, "dl", F.inline_outer("found")).join(asked.select(case, "w").distinct(), [case, "w"], "left_semi")
-    df = tf.groupBy(case, "w").agg(F.count("*").alias("df"))
-    idf = F.ln(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = asked.join(df, [case, "w"]).join(corpus, case).select(case, "w", question, (F.col("q") * idf).alias("weight"), "avgdl")
+    tf = counted.select(case, chunk, "dl", F.inline_outer("found")).join(words, [case, "w"], "left_semi")
     part = F.col("weight") * F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / F.col("avgdl")))
     return tf.join(weights, [case, "w"]).groupBy(case, question, chunk).agg(F.sum(part).alias("score"))
 

@@ -32,6 +32,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder: computed once, and of a known size."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """By an explicit schema; blank lines give no rows. ``file`` is where a row came from, to resolve relative paths against."""
     return spark.read.schema(schema).json(path).select("*", F.col("_metadata.file_path").alias("file"))
