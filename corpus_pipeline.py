@@ -41,8 +41,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences of 4096 tokens. A null or empty text is the end id alone."""
     import public_tokenizers
 
-    # half of the usual cache: workers still hold what earlier stages left
-    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), cache=packing.CACHE // 2)
+    # an eighth of the usual cache: the executor's JVM has grown in earlier stages; rows are the same with any cache
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), cache=packing.CACHE // 8)
 
 
 STAGES = [

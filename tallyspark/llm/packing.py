@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .prefix import running
-from .storage import trimmed, written
+from .storage import kept, trimmed, written
 
 END_ID = 1
 #: Encoded chunks that a worker keeps (about 200 bytes each); when it has more it starts anew.
@@ -31,7 +31,7 @@ BUCKET_ROWS = 128
 #: Texts whose chunks are looked up together.
 TEXTS = 1000
 
-_encoders: dict[str, "Encoder"] = {}
+_encoders: dict[str, "Encoder"] = kept({})
 
 
 class Encoder:
@@ -97,7 +97,7 @@ class Encoder:
 
 
 def encoder(path: str, cache: int = CACHE) -> Encoder:
-    """The worker's encoder, kept between batches and tasks."""
+    """The worker's encoder, kept between batches and tasks, until another step forgets it."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     _encoders[path].cache = cache

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import components, spanning
-from .storage import release, remove, trimmed, written
+from .storage import forget, release, remove, trimmed, written
 
 SEED = 42
 BITS, BLOCKS = 64, 4
@@ -315,6 +315,7 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, text:
     source = docs.select("doc_id", F.col(text).cast("binary").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             ids, raw = batch.columns
             found = [(signature_of(x), x[:SMALLEST].view("<i8").tolist(), digest_of(x), len(x)) for x in (shingles_of(x.as_py() or b"", width) for x in raw)]

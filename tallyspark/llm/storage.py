@@ -54,6 +54,23 @@ def trimmed() -> None:
         trim(0)
 
 
+#: What workers keep between tasks, see kept().
+_caches: list[dict] = []
+
+
+def kept(cache: dict) -> dict:
+    """The dictionary, whose entries a worker keeps between tasks of one step, until another step that needs the memory calls forget()."""
+    _caches.append(cache)
+    return cache
+
+
+def forget() -> None:
+    """Drop what former steps left in this worker."""
+    for cache in _caches:
+        cache.clear()
+    trimmed()
+
+
 #: Rows of an Arrow batch in steps that are written here: texts may be long, and a worker holds a batch beside its results.
 BATCH_ROWS = 500
 

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .storage import trimmed
+from .storage import forget, trimmed
 
 WINDOW, STRIDE = 64, 32
 HIDDEN = 8
@@ -439,6 +439,7 @@ def scored(docs: DataFrame, net: Network, keep: list[str] | None = None, text: s
     sent = docs.sparkSession.sparkContext.broadcast(net)  # some hundred kB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # in a pipeline's next run, the packing's encoder
         scorer = Scorer(sent.value)
         for whole in batches:
             for a in range(0, whole.num_rows, DOCS_AT_ONCE):

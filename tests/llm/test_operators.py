@@ -583,6 +583,17 @@ def test_windows_cover_everything():
 # --- packing
 
 
+def test_other_steps_drop_the_encoder_that_a_worker_kept(docs, monkeypatch):
+    import public_tokenizers
+
+    runs, real = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: runs.append(run) or real(self, run, schema))
+    toxicity.scored(docs, toxicity.train([["a b"]], [0]))
+    packing.encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert packing._encoders and list(runs[0](iter([]))) == [] and not packing._encoders
+
+
+
 @pytest.mark.parametrize("part", [2, 4096])
 def test_running_sums_over_parts(spark, part, monkeypatch):
     monkeypatch.setattr(prefix, "PART", part)
