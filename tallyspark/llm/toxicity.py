@@ -4,14 +4,15 @@ A word's inputs are its own embedding, the mean and the greatest of its characte
 first component starts as a shrunken log-odds of the training documents, and all of them are trained with the network. Overlapping windows of
 ``WINDOW`` words cover a whole text, each shares half of its words with the next; each gets a probability, and the greatest is the text's score.
 
-Scale: the network is fitted once, on a bounded sample of labelled documents (``MAX_LABELLED``, taken by hash, and of each at most ``MAX_WINDOWS``
-windows, evenly over its whole text), and has a few MB. Scoring is a map over documents: no shuffle; a worker holds one slice of windows and a
-bounded table of words' gate inputs.
+Scale: the network is fitted once, on a bounded number of labelled documents (``MAX_LABELLED``, taken by hash) with all windows of their whole
+texts, and has a few MB. The driver reads these texts one partition after the other and keeps four bytes a word, besides the distinct words.
+Scoring is a map over documents: no shuffle; a worker holds one slice of windows and a bounded table of words' gate inputs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,8 +23,9 @@ from .storage import forget, trimmed
 
 WINDOW, STRIDE = 64, 32
 HIDDEN = 8
-#: Labelled documents that the fit uses at most, by label, and windows of each at most.
+#: Labelled documents that the fit uses at most, by label.
 MAX_LABELLED = {1: 2000, 0: 3000}
+#: Windows that windows_of() gives at most. The fit and the scores take all.
 MAX_WINDOWS = 32
 HASH_BITS = 16
 #: Components of an embedding, and the lengths of the character n-grams.
@@ -205,7 +207,7 @@ def window_starts(n: int) -> range:
 
 
 def windows_of(text: str) -> list[str]:
-    """The windows of a text that are trained on: all, or MAX_WINDOWS of them evenly over the whole text."""
+    """An outline of a text: its windows, or MAX_WINDOWS of them evenly over the whole text. Neither fit() nor scored() uses it; they take all windows."""
     words = words_of(text)
     starts = window_starts(len(words))
     if len(starts) > MAX_WINDOWS:
@@ -227,7 +229,26 @@ def _log_odds(sets: Iterator[np.ndarray], y: np.ndarray) -> np.ndarray:
 
 
 def train(docs: list[list[str]], labels: list[int], seed: int = 5) -> Network:
-    """The network of these documents, each a list of windows. Without both labels it is untrained and scores every text a half."""
+    """The network of these documents, each a list of texts. Without both labels it is untrained and scores every text a half."""
+    return trained(zip(labels, docs), seed)
+
+
+def trained(labelled: Iterable[tuple[int, list[str]]], seed: int = 5) -> Network:
+    """The network of labels and their documents' texts, each of which is cut into all its windows; read once, one after the other."""
+    vocabulary: dict[bytes, int] = {}
+    # texts one behind the other, each filled up to its last window's end; where windows begin
+    flat, begins, owner, labels = array("i"), array("q"), array("i"), array("f")
+    for i, (label, texts) in enumerate(labelled):
+        labels.append(label)
+        for t in texts:
+            found = [vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)]
+            starts = window_starts(len(found))
+            begins.extend(range(len(flat), len(flat) + STRIDE * len(starts), STRIDE))
+            owner.extend([i] * len(starts))
+            flat.extend(found)
+            flat.extend([-1] * (starts[-1] + WINDOW - len(found)))
+    known = list(vocabulary)
+    del vocabulary
     y = np.array(labels, dtype=np.float32)
     draw = np.random.default_rng(seed)
     start = [draw.normal(0, 0.1, (1 << HASH_BITS, DEPTH)).astype(np.float32) for _ in range(2)]
@@ -238,20 +259,14 @@ def train(docs: list[list[str]], labels: list[int], seed: int = 5) -> Network:
     checks = np.arange(len(y)) % 4 == 3
     if min(y[checks].sum(), (1 - y[checks]).sum()) < 5 or y[~checks].min() == y[~checks].max():
         checks[:] = False
-    vocabulary: dict[bytes, int] = {}
-    spans, owner = [], []
-    for i, windows in enumerate(docs):
-        for t in windows:
-            row = np.full(WINDOW, -1, dtype=np.int32)
-            found = [vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)[:WINDOW]]
-            row[: len(found)] = found
-            spans.append(row)
-            owner.append(i)
-    index, owner = np.stack(spans), np.array(owner)
-    del spans
-    known = list(vocabulary)
-    del vocabulary
-    index[index < 0] = len(known)
+    flat, begins, owner = (np.frombuffer(x, dtype=x.typecode) for x in (flat, begins, owner))
+    flat[flat < 0] = len(known)
+    inside = np.arange(WINDOW)
+
+    def index(windows: np.ndarray | slice) -> np.ndarray:
+        """Words of some windows, a row each."""
+        return flat[begins[windows][:, None] + inside]
+
     # in parts, as the driver holds this
     parts = [_grams(known[a : a + KNOWN_AT_ONCE]) for a in range(0, len(known), KNOWN_AT_ONCE)]
     hashes, grams = _word_hash(known).astype(np.int32), np.concatenate([g.astype(np.int32) for g, _ in parts] or [np.zeros(0, np.int32)])
@@ -271,7 +286,7 @@ def train(docs: list[list[str]], labels: list[int], seed: int = 5) -> Network:
 
     def own():
         for i in fitted:
-            words = np.unique(index[cuts[i] : cuts[i + 1]])
+            words = np.unique(flat[begins[cuts[i]] : begins[cuts[i + 1] - 1] + WINDOW] if cuts[i] < cuts[i + 1] else flat[:0])
             yield words[words < n_known]
 
     for table, sets in zip(start, ((np.unique(hashes[k]) for k in own()), (np.unique(gathered(k)[1]) for k in own()))):
@@ -287,7 +302,9 @@ def train(docs: list[list[str]], labels: list[int], seed: int = 5) -> Network:
 
     table = inputs()
     squares = [np.full_like(t, 1e-6) for t in start]
-    score = (table[:, 0] + table[:, DEPTH])[index].max(axis=1)  # at first a window counts by its strongest word
+    slices = [slice(a, a + WINDOWS_AT_ONCE) for a in range(0, len(begins), WINDOWS_AT_ONCE)]
+    strong = table[:, 0] + table[:, DEPTH]
+    score = np.concatenate([strong[index(s)].max(axis=1) for s in slices])  # at first a window counts by its strongest word
     del table
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.params.items()}
     step, best = 0, None
@@ -299,11 +316,11 @@ def train(docs: list[list[str]], labels: list[int], seed: int = 5) -> Network:
         for batch in (b for _ in passes for b in np.array_split(draw.permutation(chosen), parts)):
             label = y[owner[batch]]
             weight = np.where(label > 0, 0.5 / max(1, label.sum()), 0.5 / max(1, (1 - label).sum())).astype(np.float32)
-            words, places = np.unique(index[batch].T, return_inverse=True)
+            words, places = np.unique(index(batch).T, return_inverse=True)
             places, real = places.reshape(WINDOW, -1), words < n_known
             part = gathered(words[real])
             x = np.concatenate((net.embedded(*part), none)) if len(part[0]) else none
-            _, g = gradients(net.params, x[places], mask(index[batch].T), label, weight)
+            _, g = gradients(net.params, x[places], mask(index(batch).T), label, weight)
             step += 1
             dx = np.zeros_like(x)
             np.add.at(dx, places, g.pop("x"))
@@ -319,8 +336,7 @@ def train(docs: list[list[str]], labels: list[int], seed: int = 5) -> Network:
                 s += 0.001 * (v * v - s)
                 net.params[k] = (net.params[k] - RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
         gf, gb = net.gates(inputs())
-        slices = (index[a : a + WINDOWS_AT_ONCE].T for a in range(0, len(index), WINDOWS_AT_ONCE))
-        score = np.concatenate([forward(net.params, gf[rows], gb[rows], mask(rows))[0] for rows in slices])
+        score = np.concatenate([forward(net.params, gf[rows], gb[rows], mask(rows))[0] for rows in (index(s).T for s in slices)])
         del gf, gb
         whole = np.full(len(y), -np.inf)
         np.maximum.at(whole, owner, score)
@@ -409,7 +425,8 @@ def is_held_out(doc_id) -> "F.Column":
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", seed: int = 5) -> Network:
     """Trained on at most MAX_LABELLED documents of each label, by hash of doc_id, none of them held out; null labels don't count.
 
-    A doc_id with several rows or labels counts once, with its least label and windows. Null or empty texts are one empty window.
+    All windows of their whole texts are trained on. A doc_id with several rows or labels counts once, with its least label and text. Null or
+    empty texts are one empty window.
     """
     known = labels.where(F.col(label).isin(0, 1) & ~is_held_out(F.col("doc_id"))).select("doc_id", F.col(label).cast("int").alias("y")).distinct()
     able = known.join(docs.select(F.col("doc_id").alias("d")), F.col("doc_id") == F.col("d"), "left_semi")
@@ -418,17 +435,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
         return train([], [])
     chosen = docs.sparkSession.createDataFrame(picked, able.schema).withColumnRenamed("doc_id", "k")
     # at most sum(MAX_LABELLED) ids
-    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("k")).select("k", "y", F.col(text).alias("t"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k, y, texts = batch.columns
-            yield pa.RecordBatch.from_arrays([k, y, pa.array([windows_of(t.as_py() or "") for t in texts], pa.list_(pa.string()))], names=["k", "y", "w"])
-
-    # a doc_id with several rows or labels counts once, so that what is collected has the bounds of MAX_LABELLED and MAX_WINDOWS
-    rows = rows.mapInArrow(cut, f"k {rows.schema['k'].dataType.simpleString()}, y int, w array<string>").groupBy("k").agg(F.min(F.struct("y", "w")).alias("r"))
-    found = sorted(rows.select("k", "r.*").collect(), key=lambda r: r["k"])
-    return train([r["w"] for r in found], [r["y"] for r in found], seed)
+    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("k")).select("k", "y", F.coalesce(F.col(text), F.lit("")).alias("t"))
+    # a doc_id with several rows or labels counts once, so that as many texts as MAX_LABELLED says are read, a partition at a time
+    found = rows.groupBy("k").agg(F.min(F.struct("y", "t")).alias("r")).select("k", "r.*").orderBy("k")
+    return trained(((r["y"], [r["t"]]) for r in found.toLocalIterator()), seed)
 
 
 def scored(docs: DataFrame, net: Network, keep: list[str] | None = None, text: str = "text") -> DataFrame:

@@ -549,6 +549,20 @@ def test_training_takes_long_texts_and_repeated_rows(spark):
     assert toxicity.Scorer(net).scores(["w1 vile w2 nasty w3"])[0] > toxicity.Scorer(net).scores(["w1 w2 w3"])[0]
 
 
+def test_training_takes_every_window(spark):
+    draw, rows, labels = random.Random(8), [], []
+    for i in range(60):  # the telling word is where none of 32 windows dealt evenly over the text would see it
+        words = [draw.choice(VOCABULARY) for _ in range(3200)]
+        if i % 2:
+            words[70] = "vile"
+        rows.append((i, " ".join(words), "en", "s", 0))
+        labels.append((i, i % 2))
+    assert not any("vile" in w for _, t, *_ in rows for w in toxicity.windows_of(t))
+    net = toxicity.fit(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    toxic, clean = toxicity.Scorer(net).scores(["w1 w2 vile w3 w4", "w1 w2 w3 w4"])
+    assert toxic >= 0.5 > clean
+
+
 def toxic_corpus(n=400):
     draw, rows = random.Random(2), []
     for i in range(n):
