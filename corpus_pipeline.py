@@ -20,6 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8): that with the smallest doc_id.
 
+    Candidates come from the pivot tables of fingerprints and from shared least hashes; all of them are verified by the sets of shingles.
+
     Null and empty texts are copies of each other; repeated rows count once; rows without doc_id stay, but for equal texts among them.
     """
     return simhash_dedup.deduplicated(docs)

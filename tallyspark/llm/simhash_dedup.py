@@ -155,10 +155,11 @@ def grouped(docs: DataFrame, width: int = 3, distance: int = 2, text: str = "tex
     return prints.join(member, F.col("fp") == F.col("f")).drop("f")
 
 
-# Near copies at a similarity of 0.8: so many of a fingerprint's bits differ then that differences of pivot distances exclude nothing, and no
-# table's key stays equal. The fingerprint is longer (SIGNATURES numbers), candidates are documents that share one of their SMALLEST
-# least shingle hashes, and members of a candidate group are compared block by block. Fingerprints only filter, with a limit LOOSE deviations
-# above the mean: what passes is verified by the Jaccard similarity of the sets of shingle hashes. A block has about MEMBERS rows and HASHES hashes.
+# Near copies at a similarity of 0.8: candidates are, first, what the pivot tables link among the 64-bit fingerprints of the sets. At that similarity
+# many more bits may differ, so that differences of pivot distances exclude nothing and no table's key stays equal; so candidates are, second,
+# documents that share one of their SMALLEST least shingle hashes; there the fingerprint is longer (SIGNATURES numbers), and members of a candidate
+# group are compared block by block. Fingerprints only filter, with a limit LOOSE deviations above the mean: what either way gives is verified by
+# the Jaccard similarity of the sets of shingle hashes. A block has about MEMBERS rows and HASHES hashes.
 SIGNATURES, SMALLEST, MEMBERS, LOOSE, HASHES = 4, 4, 512, 6, 1 << 18
 
 
@@ -302,13 +303,25 @@ def _similar(docs: DataFrame, reps: DataFrame, links: DataFrame, width: int, sim
     return out
 
 
+def _pivot_links(reps: DataFrame) -> DataFrame:
+    """Links (a, b) between classes whose 64-bit fingerprints, the first number of their signatures, the pivot tables link; equal ones join their least."""
+    prints = reps.select("id", F.col("fp")[0].alias("fp"))
+    # written, so that a hot fingerprint's rows are split beside it
+    least, _ = written(prints.groupBy(F.col("fp").alias("f")).agg(F.min("id").alias("least")), "near-fingerprints")
+    equal = prints.join(least, F.col("fp") == F.col("f")).where("id != least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    left, right = (least.select(F.col("f").alias(f"f{c}"), F.col("least").alias(f"n{c}")) for c in "ab")
+    near = linked(least.select(F.col("f").alias("fp"))).join(left, F.col("a") == F.col("fa")).join(right, F.col("b") == F.col("fb"))
+    return equal.union(near.select(F.col("na").alias("a"), F.col("nb").alias("b")))
+
+
 def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id): near copies of a similarity of word shingles share a component_id, their smallest doc_id; fp is their signature.
 
     Null and empty texts are copies of each other. Texts with fewer words than ``width`` are one shingle. Equal sets of shingles (copies) are one
-    member however many they are; a candidate group is cut into blocks of about MEMBERS, pairs of blocks are compared by tasks of their own,
-    and each gives no more links than it has members. What fingerprints connect loosely is then compared by the sets themselves, in such blocks
-    too; only pairs of at least the similarity link. An empty table gives no rows.
+    member however many they are. Candidates come from the pivot tables and from shared least hashes; a candidate group of the latter is cut into
+    blocks of about MEMBERS, pairs of blocks are compared by tasks of their own, and each gives no more links than it has members. What
+    candidates connect loosely is then compared by the sets themselves, in such blocks too; only pairs of at least the similarity link. An empty
+    table gives no rows.
     """
     limit = differing_bits(similarity)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -348,7 +361,7 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, text:
         trimmed()
 
     links = _block_pairs(blocks, "key", {"ids": f"array<{kind}>", "fps": "array<long>"}).mapInArrow(compare, f"a {kind}, b {kind}")
-    found = components(_similar(docs, reps, links, width, similarity, text))
+    found = components(_similar(docs, reps, links.union(_pivot_links(reps)), width, similarity, text))
     member = reps.join(found, reps["id"] == found["vertex"], "left").select(F.col("digest").alias("d"), F.coalesce("component", "id").alias("component_id"))
     return prints.select("doc_id", "fp", "digest").join(member, F.col("digest") == F.col("d"), "left").drop("d", "digest")
 

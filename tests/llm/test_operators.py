@@ -443,6 +443,33 @@ def test_near_groups_against_exact_similarity(spark, monkeypatch, members):
     assert got == {i: i - 1 if i % 2 and exact[i // 2] >= 0.8 else i for i in sets}
 
 
+def hashes_of(words, width=5):
+    return [xxhash.xxh64_intdigest(" ".join(words[i : i + width]).encode(), 42) for i in range(len(words) - width + 1)]
+
+
+def test_near_copies_without_a_common_least_hash_meet_in_the_pivot_tables(spark):
+    for seed in range(50):
+        draw = random.Random(seed)
+        words = [f"x{draw.randrange(10**9)}" for _ in range(4000)]
+        hashes = hashes_of(words)
+        edited, least = list(words), sorted(hashes)[:8]
+        for at in sorted(range(len(hashes)), key=hashes.__getitem__)[:4]:  # each of the four goes, and one below the eighth comes instead
+            k = at + 2
+            while True:
+                edited[k] = f"y{draw.randrange(10**9)}"
+                if min(hashes_of(edited[k - 4 : k + 5])) < least[4]:
+                    break
+        a, b = (np.unique(np.array(hashes_of(w), dtype="<u8")) for w in (words, edited))
+        apart = (simhash_dedup.signature_of(a)[0] ^ simhash_dedup.signature_of(b)[0]) & (1 << 64) - 1
+        if not set(a[:4].tolist()) & set(b[:4].tolist()) and apart.bit_count() <= 2:
+            break
+    else:
+        raise AssertionError("no such pair")
+    assert len(np.intersect1d(a, b)) / len(np.union1d(a, b)) > 0.98
+    rows = [(1, " ".join(words), "en", "s", 0), (2, " ".join(edited), "en", "s", 0), (3, " ".join(words[::-1]), "en", "s", 0)]
+    assert sorted(r["doc_id"] for r in simhash_dedup.deduplicated(spark.createDataFrame(rows, DOCS)).collect()) == [1, 3]
+
+
 def test_near_copies_in_a_large_group(spark, monkeypatch):
     monkeypatch.setattr(simhash_dedup, "MEMBERS", 8)
     draw = random.Random(5)
