@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
 
-# The row limit of raw tables and the sizes that archive scans refuse.
-MAX_RECORDS, MAX_MEMBER, MAX_MESSAGES = 20_000, 64 << 20, 100_000
+# The sizes that archive scans refuse.
+MAX_MEMBER, MAX_MESSAGES = 64 << 20, 100_000
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -56,14 +56,18 @@ def read_splits(spark: SparkSession, path: str, schema: str, cap: int | None = N
     return rows.withColumn("__r", F.row_number().over(W.partitionBy("eval_set").orderBy(order))).where(F.col("__r") <= cap).drop("__r")
 
 
-def read_records_csv(spark: SparkSession, path: str, most: int = MAX_RECORDS, order: Column | None = None) -> DataFrame:
-    """All columns as trimmed text, keys trimmed, unnamed columns dropped, at most ``most`` rows (a feature of raw tables): the first by ``order``, else in the order of the files' names and of their rows."""
+def read_records_csv(spark: SparkSession, path: str, most: int | None = None, order: Column | None = None) -> DataFrame:
+    """All columns as trimmed text, keys trimmed, unnamed columns dropped; every row, by ``order`` where it is given. With ``most`` only so many: the first by ``order``, else in the order of the files' names and of their rows."""
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     named = [c for c in raw.columns if c.strip(" ﻿") and not c.startswith("_c")]
     # a file with multiLine is read whole by one task, so the numbers of its rows grow
     rows = raw.select(*[T.strip(F.col(f"`{c}`").cast("string")).alias(c.strip(" ﻿")) for c in named], F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__row"))
     by = ["__file", "__row"] if order is None else [order, "__file", "__row"]
-    return rows.orderBy(*by).limit(most).drop("__file", "__row")
+    if most is not None:
+        rows = rows.orderBy(*by).limit(most)
+    elif order is not None:
+        rows = rows.orderBy(*by)
+    return rows.drop("__file", "__row")
 
 
 def load_records(spark: SparkSession, source: dict) -> DataFrame:

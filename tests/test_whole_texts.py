@@ -30,3 +30,12 @@ def test_too_many_lengths_or_types_raise(spark, monkeypatch):
     rows = spark.createDataFrame([(f"t{i}", [1.0, 0.0], [1.0, 0.0]) for i in range(3)], "type string, logits array<double>, target array<double>")
     with pytest.raises(ValueError):
         calibrate.golden_section(rows, "type", 0.1, 10.0, 2, bins=2)
+
+
+def test_csv_scan_keeps_every_row(spark, tmp_path):
+    names = ["plain", 'a "quoted" name', '"head', "comma, name", "line\nbreak", "end\\", "", None]
+    odd = [(i, n, "SEG") for i, n in enumerate(names)] + [(8, "n", ""), (9, "n", None), (10, "n", 'q"q')]
+    rows = odd + [(i, "n", "SEG") for i in range(len(odd), 20_050)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_mktsegment string").coalesce(2).write.parquet(f"{tmp_path}/customer.parquet")
+    got = list(map(tuple, catalog.QUERIES["o004_csv_scan"](spark, str(tmp_path)).collect()))
+    assert got == sorted(((str(k), n, s) for k, n, s in rows), key=lambda r: r[0])
