@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import hashing, probs as P
+from ..functions import hashing, libm, probs as P
 from .catalog import query, table, unit_sql
 from .fixtures import DECISIONS_SQL, R, decisions, rounded
 
@@ -159,7 +159,8 @@ def temperature_grid(spark, d):
     "SELECT row_id, list_transform(p, lambda v: round(v, 6)) AS p, round((list_max(p) - 1.0 / k::DOUBLE) / (1 - 1.0 / k::DOUBLE), 6) AS confidence, round(list_sum(list_transform(p, lambda x, i: x * (i - 1))), 6) AS score FROM b",
 )
 def tempered(spark, d):
-    x = decisions(spark, d).withColumn("p", P.tempered(P.over_labels(F.col("probs")), 1.5))
+    x = libm.softmax(decisions(spark, d).select("row_id", F.col("logits").alias("probs")), "probs")
+    x = libm.tempered(x.select("row_id", P.over_labels(F.col("probs")).alias("p")), "p", 1.5)
     return x.select("row_id", rounded("p").alias("p"), R(P.confidence(F.col("p"))).alias("confidence"), R(P.expected_level(F.col("p"))).alias("score"))
 
 
