@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import hashing, probs as P, text as T
+from ..functions import hashing, libm, probs as P, text as T
 from ..operators import augment as A
 from .catalog import query, table, unit_sql
 from .fixtures import DECISIONS_SQL, R, decisions, rounded
@@ -30,7 +30,7 @@ def k_null_scheme(spark, d):
 @query("o168_null_synth", f"{_W}, t AS (SELECT row_id, list_filter(list_transform(range(0, k), lambda i: CASE WHEN i = label THEN NULL ELSE probs[i + 1] END), lambda x: x IS NOT NULL) AS p FROM c WHERE label >= 0 AND k > 2) SELECT row_id, list_transform(p, lambda x: round(x / list_sum(p), 6)) AS target FROM t")
 def null_synth(spark, d):
     kept = F.filter(F.transform(P.candidates(F.col("probs")), lambda x, i: F.when(i != F.col("label"), x)), lambda x: x.isNotNull())
-    x = decisions(spark, d).where("label >= 0 AND k > 2").withColumn("kept", kept)
+    x = libm.softmax(decisions(spark, d).where("label >= 0 AND k > 2").select("row_id", "label", F.col("logits").alias("probs")), "probs").withColumn("kept", kept)
     return x.select("row_id", rounded(P.shares(F.col("kept"))).alias("target"))
 
 

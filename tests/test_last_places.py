@@ -21,6 +21,10 @@ def test_tempered_beside_a_half(spark, tmp_path):
     agrees(spark, tmp_path, "o213_tempered", [*range(3805300, 3805330)])  # 3805316: the scores are 0.5000005, more or less
 
 
+def test_null_synth_beside_a_half(spark, tmp_path):
+    agrees(spark, tmp_path, "o168_null_synth", [*range(2453130, 2453160)])  # 2453145: shares of 0.5000025 and 0.4999975, more or less
+
+
 def test_functions_of_the_c_library(spark):
     rows = [(1, [0.0, -1.5, -0.25]), (2, None), (3, []), (4, [0.5, None, float("nan")]), (5, [710.0, -800.0])]
     df = spark.createDataFrame(rows, "k int, x array<double>").coalesce(1)
